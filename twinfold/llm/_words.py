@@ -7,20 +7,31 @@ from typing import Any
 
 
 class WordMemo:
-    """Maps words to what ``fill`` makes of them; emptied when it holds ``limit`` words, which changes no result."""
+    """Maps words to what ``fill`` makes of them.
 
-    def __init__(self, fill: Callable[[list], Sequence[Any]], limit: int = 300_000):
-        self.fill, self.limit, self.of = fill, limit, {}
+    It holds a young and an old generation of at most ``limit // 2`` words and one batch each; a word of the old one
+    that is met again moves to the young one, so frequent words stay.  What is held changes no result.
+    """
 
-    def look_up(self, words: Sequence) -> dict:
-        """The memo, holding every one of ``words``."""
-        missing = [w for w in set(words) if w not in self.of]
+    def __init__(self, fill: Callable[[list], Sequence[Any]], limit: int = 800_000):
+        self.fill, self.limit, self.young, self.old = fill, limit, {}, {}
+
+    def look_up(self, texts: Sequence[Sequence]) -> dict:
+        """The memo, holding all words of ``texts`` until the next call."""
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = {w for words in texts for w in words if w not in young}
         if missing:
-            if len(self.of) + len(missing) > self.limit:
-                self.of = {}
-                missing = list(set(words))
-            self.of.update(zip(missing, self.fill(missing), strict=True))
-        return self.of
+            new = []
+            for w in missing:
+                if (found := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    young[w] = found
+            if new:
+                young.update(zip(new, self.fill(new), strict=True))
+        return young
 
 
 def chunks(sizes: Sequence[int], budget: int) -> list[tuple[int, int]]:

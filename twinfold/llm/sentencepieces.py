@@ -30,7 +30,7 @@ _NONE = np.int32(2**31 - 1)
 class PieceCodec:
     """Encodes and decodes as the sentencepiece library does with a BPE model of plain pieces and byte fallback."""
 
-    def __init__(self, model_file: str, memo_words: int = 300_000):
+    def __init__(self, model_file: str, memo_words: int = 800_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -234,7 +234,7 @@ class PieceCodec:
         out: list[np.ndarray] = []
         for a, b in chunks([len(t or "") for t in texts], 2_000_000):
             words = [self.split(t or "") for t in texts[a:b]]
-            of = self.memo.look_up([w for ws in words for w in ws])
+            of = self.memo.look_up(words)
             out += [np.frombuffer(b"".join([of[w] for w in ws]) + tail, "<i4") for ws in words]
         return out
 

@@ -43,7 +43,7 @@ class ByteBpe:
     white space comes next, so the text is cut there and its chunks are encoded on their own.
     """
 
-    def __init__(self, file: str, special_as_text: bool = True, memo_words: int = 300_000):
+    def __init__(self, file: str, special_as_text: bool = True, memo_words: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,34 +51,55 @@ class ByteBpe:
         self.library.encode_special_tokens = special_as_text
         self.whole = not special_as_text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Bytes of text that each id stands for: byte-level vocabularies write one character a byte.
+        self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
         self.memo = WordMemo(self._fill, memo_words)
 
-    def _fill(self, words: Sequence[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for a, b in chunks([len(w) + 8 for w in words], 400_000):
-            for e in self.library.encode_batch_fast(list(words[a:b]), add_special_tokens=False):
-                out.append(np.array(e.ids, self.dtype).tobytes())
+    def _fill(self, keys: Sequence[str]) -> list[bytes]:
+        """Ids of each chunk.  Chunks that open with a space and more may follow each other in one text as well."""
+        out: list[bytes] = [b""] * len(keys)
+        own = [k for k, w in enumerate(keys) if w[0] == " "]
+        for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
+            for k, e in zip(own[a:b], self.library.encode_batch_fast([keys[k][1:] for k in own[a:b]], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.dtype).tobytes()
+        joined = [k for k, w in enumerate(keys) if w[0] != " "]
+        sizes = [(len(w) if w.isascii() else len(w.encode())) + 1 for w in keys if w[0] != " "]
+        for a, b in chunks(sizes, 200_000):
+            (e,) = self.library.encode_batch_fast([" " + " ".join([keys[k] for k in joined[a:b]])], add_special_tokens=False)
+            ids = np.array(e.ids, np.int64)
+            at, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[a:b])
+            stops = np.searchsorted(at, ends)
+            if not np.array_equal(at[stops], ends):
+                raise ValueError("a piece crosses the end of a chunk")
+            data, start = ids.astype(self.dtype).tobytes(), 0
+            for k, stop in zip(joined[a:b], ((stops + 1) * self.dtype.itemsize).tolist(), strict=True):
+                out[k] = data[start:stop]
+                start = stop
         return out
 
     def split(self, text: str) -> list[str]:
+        """The chunks of a text: a key without a space in front stands for a space and itself, any other for what follows its first space."""
         if self.whole or not text:
-            return [text] if text else []
+            return [" " + text] if text else []
         parts = text.split(" ")
-        if not _HARD.search(text):
-            return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return [p for p in out if p]
+        if _HARD.search(text):
+            joined = [parts[0]]
+            for p in parts[1:]:
+                if p and not p[0].isspace():
+                    joined.append(p)
+                else:
+                    joined[-1] += " " + p
+            parts = joined
+        if parts[0]:
+            parts[0] = " " + parts[0]
+            return parts
+        return parts[1:]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in chunks([len(t or "") for t in texts], 2_000_000):
             words = [self.split(t or "") for t in texts[a:b]]
-            of = self.memo.look_up([w for ws in words for w in ws])
+            of = self.memo.look_up(words)
             out += [b"".join([of[w] for w in ws]) for ws in words]
         return out
 
