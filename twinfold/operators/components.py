@@ -38,11 +38,10 @@ def _roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges that keep each batch of edges as connected as it was, one a vertex at most."""
+    """Edges that keep each batch of edges as connected as it was, one a vertex; roots have a loop."""
     for pdf in batches:
         nodes, root = _roots(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
-        keep = nodes != root
-        yield pd.DataFrame({"src": nodes[keep], "dst": root[keep]})
+        yield pd.DataFrame({"src": nodes, "dst": root})
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,10 +58,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     ends = edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
     ends = ends.where("src IS NOT NULL AND dst IS NOT NULL")
-    left = materialize(ends.mapInPandas(_forest, "src long, dst long").distinct(), "edges")
+    forest = materialize(ends.mapInPandas(_forest, "src long, dst long").distinct(), "edges")
+    left, loops = forest.where("src <> dst"), forest.where("src = dst").select(F.col("src").alias("node"))
     chain: list[DataFrame] = []
     spark = edges.sparkSession
-    loops = ends.where("src = dst").select(F.col("src").alias("node")).distinct()
     while (n := left.count()) > SINGLE_TASK_EDGES:
         seed = F.lit(len(chain) + 17)
         both = left.union(left.select("dst", "src"))
