@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import linededup, sentencepieces, simhash, tokenfiles
+from twinfold.llm import linededup, mixing, sentencepieces, simhash, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,11 +38,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
 }
