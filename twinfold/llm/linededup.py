@@ -84,11 +84,11 @@ class LineRuns:
         return self._merged(self.runs())
 
 
-def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(doc, h1, h2)``: the distinct keys of at least ``min_chars`` code points of each row."""
+def _long_lines(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
+    """``(doc, *more, h1, h2)``: the distinct keys of at least ``min_chars`` code points of each row."""
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
     found = F.array_distinct(F.transform(keys, _hashes))
-    return docs.select(F.col("id").alias("doc"), F.explode(found).alias("h")).select("doc", "h.h1", "h.h2")
+    return docs.select(F.col("id").alias("doc"), *more, F.explode(found).alias("h")).select("*", "h.h1", "h.h2").drop("h")
 
 
 def index_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 3) -> LineRuns:
@@ -122,8 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drop = F.broadcast(drop)
     # which keys go from which text: identical rows share the answer, only rows that lose a line are in it
     same = F.xxhash64("text", F.length("text"))
-    keyed = F.filter(F.transform(lines_of(F.col("text")), lambda line: F.struct(F.char_length(line_key(line)).alias("n"), _hashes(line_key(line)).alias("h"))), lambda x: x.n >= min_chars)
-    lines = narrow.select("id", same.alias("same"), F.explode(F.array_distinct(F.transform(keyed, lambda x: x.h))).alias("h")).select("id", "same", "h.h1", "h.h2")
+    lines = _long_lines(narrow, min_chars, same.alias("same")).withColumnRenamed("doc", "id")
     gone = lines.join(drop, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("id", "same").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     gone = gone.select(F.col("id").alias("_id"), F.col("same").alias("_same"), "_gone")
