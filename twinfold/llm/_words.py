@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
+
 
 class WordMemo:
     """Maps words to what ``fill`` makes of them.
@@ -45,3 +47,40 @@ def chunks(sizes: Sequence[int], budget: int) -> list[tuple[int, int]]:
     if start < len(sizes):
         out.append((start, len(sizes)))
     return out
+
+
+class IntTable:
+    """An open-addressing table from distinct non-negative 64-bit keys to integers, for arrays of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(10, (4 * len(keys)).bit_length())
+        self.key, self.value, self.probes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64), 0
+        keys, values = keys.astype(np.uint64), values.astype(np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            self.probes += 1
+            free = np.flatnonzero(self.value[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.key[at[put]], self.value[at[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        at = self._slot(keys)
+        out = np.where(self.key[at] == keys, self.value[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.value[at] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at = (self._slot(keys[open_]) + 1) & ((1 << self.bits) - 1) if _ == 0 else (at + 1) & ((1 << self.bits) - 1)
+            hit = self.key[at] == keys[open_]
+            out[open_[hit]] = self.value[at[hit]]
+            go = ~hit & (self.value[at] >= 0)
+            open_, at = open_[go], at[go]
+        return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import linededup, mixing, sentencepieces, simhash, tokenfiles
+from twinfold.llm import langid, licenses, linededup, mixing, sentencepieces, simhash, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +32,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLES: dict[str, str] = {

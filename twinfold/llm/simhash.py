@@ -151,5 +151,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its component, or null; all columns stay."""
-    keep = simhash_components(docs, id_col, text_col, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no name of docs can clash with the new columns
+    own = F.col(f"c{docs.columns.index(id_col)}")
+    keep = simhash_components(docs, id_col, text_col, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    out = plain.join(keep, own.cast("long") == F.col("kept"), "left_semi").unionByName(plain.where(own.isNull()))
+    return out.toDF(*docs.columns)
