@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import langid, licenses, linededup, mixing, sentencepieces, simhash, tokenfiles
+from twinfold.llm import itq, langid, licenses, linededup, maxscore, mixing, sentencepieces, simhash, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(embeddings(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +44,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(embeddings(spark, sf_dir))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(documents(spark, sf_dir))
 
@@ -47,14 +55,17 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_files": op4_token_files,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_top_k": op8_top_k,
     "op9_licenses": op9_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
+    "op8_top_k": maxscore.ORACLE,
 }
