@@ -3,7 +3,8 @@
 Documents are dealt by a seeded hash into shards of about ``shard_words`` words of one source, and every shard is cut
 into blocks of an equal number of words.  Integer block quotas go from the whole to sources, from a source to groups of
 its shards and from a group to its shards, each time by the highest quotients weight / (2 k + 1).  A shard takes every
-block ``quota div blocks`` times and ``quota mod blocks`` blocks, picked by a seeded walk, once more.
+block ``quota div blocks`` times and, from a seeded block on, ``quota mod blocks`` blocks once more: a run, so nearly all
+documents are taken whole or not at all, of a seeded order, so the run is a random share.
 """
 
 from __future__ import annotations
@@ -17,11 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # 150 %
 MAX_EPOCHS = 2
-BLOCK_WORDS = 32
+BLOCK_WORDS = 8
 SHARD_WORDS = 32_768
 GROUP_SHARDS = 1_024
-#: Strides of the seeded walk; a shard's blocks are fewer than their product, so one of them always visits all.
-STRIDES = (1_000_003, 998_244_353)
 
 
 def word_count(text: Column) -> Column:
@@ -85,8 +84,7 @@ def apportion(parties: DataFrame, parent: list[str], child: str, weight: str, se
 def plan_mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """For every row of ``docs(doc_id, source, size, *)``: where it lies in its shard and how often each block is taken.
 
-    Adds ``source_size, target, start`` (words of the shard before the row), ``shard_size, blocks, quota, offset,
-    stride``; word w of a shard is in block ``((w + 1) * blocks - 1) div shard_size``.
+    Adds ``source_size, target, start`` (words of the shard before the row), ``shard_size, blocks, quota, offset``; word w of a shard is in block ``((w + 1) * blocks - 1) div shard_size``.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes).withColumn("shards", F.ceil(F.greatest("source_size", F.lit(1)) / shard_words).cast("long"))
@@ -112,8 +110,7 @@ def plan_mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, sh
     blocks = F.greatest(F.lit(1), F.round(F.col("shard_size") / block_words)).cast("long")
     shards = shards.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.col("blocks") * MAX_EPOCHS))
     shards = shards.withColumn("offset", seeded(seed, F.col("source"), F.col("_shard")) % F.col("blocks"))
-    shards = shards.withColumn("stride", F.when(F.col("blocks") % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0])) % F.col("blocks"))
-    shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "shard_size", "blocks", "quota", "offset", "stride")
+    shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "shard_size", "blocks", "quota", "offset")
     out = placed.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")))
     return out.drop("_s", "_h", "_order", "_upto", "_shard", "shards")
 
@@ -125,7 +122,7 @@ def _block_of(word: Column) -> Column:
 
 def _times(block: Column) -> Column:
     """How often a block is taken."""
-    more = F.pmod(block * F.col("stride") + F.col("offset"), F.col("blocks")) < F.col("quota") % F.col("blocks")
+    more = F.pmod(block + F.col("offset"), F.col("blocks")) < F.col("quota") % F.col("blocks")
     return F.floor(F.col("quota") / F.col("blocks")).cast("long") + more.cast("long")
 
 
@@ -161,7 +158,7 @@ def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     planned = plan_mix(narrow, seed).where("size > 0 AND quota > 0")
     # rows that repeat id, source and text lie side by side in a shard: each is matched with its own place
     turn = lambda: F.row_number().over(Window.partitionBy("doc_id", "source", "_same").orderBy("start"))
-    planned = planned.withColumn("_turn", turn()).select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "_same", "_turn")], "start", "size", "shard_size", "blocks", "quota", "offset", "stride")
+    planned = planned.withColumn("_turn", turn()).select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "_same", "_turn")], "start", "size", "shard_size", "blocks", "quota", "offset")
     texts = sized.drop("size").withColumn("_same", F.xxhash64("_in_text")).withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "source", "_same").orderBy("_same")))
     on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ("doc_id", "source", "_same", "_turn")]
     rows = texts.join(planned, on)
@@ -209,9 +206,9 @@ grouped AS (SELECT s.source, s.grp, sum(s.shard_size)::BIGINT AS group_size, any
 ofgroup AS (SELECT s.*, g.quota AS seats FROM shardsize s JOIN bygroup g ON s.source IS NOT DISTINCT FROM g.source AND s.grp = g.grp),
 {_apportion_sql("byshard", "ofgroup", "source, grp", "shard", "shard_size", "seats")}
 blocked AS (SELECT source, shard, shard_size, greatest(1, round(shard_size / {BLOCK_WORDS}))::BIGINT AS blocks, quota FROM byshard),
-walks AS (SELECT *, least(quota, blocks * {MAX_EPOCHS})::BIGINT AS q, {_seeded_sql(42, "source", "shard")} % blocks AS off, (CASE WHEN blocks % {STRIDES[0]} = 0 THEN {STRIDES[1]} ELSE {STRIDES[0]} END) % blocks AS stride FROM blocked),
+walks AS (SELECT *, least(quota, blocks * {MAX_EPOCHS})::BIGINT AS q, {_seeded_sql(42, "source", "shard")} % blocks AS off FROM blocked),
 ranged AS (SELECT row_number() OVER () AS r, p.doc_id, p.size, p.source_size, p.target, p.begins, w.* EXCLUDE (source, shard) FROM placed p JOIN walks w ON p.source IS NOT DISTINCT FROM w.source AND p.shard = w.shard),
 pieces AS (SELECT *, unnest(range(((begins + 1) * blocks - 1) // shard_size, ((begins + size) * blocks - 1) // shard_size + 1)) AS b FROM ranged WHERE size > 0),
-counted AS (SELECT r, sum((least(begins + size, ceil(((b + 1) * shard_size + 1) / blocks)::BIGINT - 1) - greatest(begins, ceil((b * shard_size + 1) / blocks)::BIGINT - 1)) * (q // blocks + ((b * stride + off) % blocks < q % blocks)::BIGINT))::BIGINT AS taken FROM pieces GROUP BY r)
+counted AS (SELECT r, sum((least(begins + size, ceil(((b + 1) * shard_size + 1) / blocks)::BIGINT - 1) - greatest(begins, ceil((b * shard_size + 1) / blocks)::BIGINT - 1)) * (q // blocks + ((b + off) % blocks < q % blocks)::BIGINT))::BIGINT AS taken FROM pieces GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM ranged LEFT JOIN counted USING (r)
 """
