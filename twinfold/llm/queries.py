@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import itq, langid, licenses, linededup, maxscore, mixing, sentencepieces, simhash, tokenfiles
+from twinfold.llm import itq, langid, licenses, linededup, maxscore, mixing, preferences, sentencepieces, simhash, tokenfiles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(documents(spark, sf_dir))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -62,10 +66,12 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_top_k": op8_top_k,
     "op9_licenses": op9_licenses,
+    "op10_preferences": op10_preferences,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_top_k": maxscore.ORACLE,
+    "op10_preferences": preferences.ORACLE,
 }
