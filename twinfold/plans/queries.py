@@ -1 +1,208 @@
-QUERIES = {}
+"""The registered queries: every operator over the supplied tables.
+
+Documents serve as rows with a content hash, a hash of their first characters and dimensions; ``embeddings`` as rows with
+a vector.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinfold import sources
+from twinfold.functions import scalar as S
+from twinfold.operators import evidence, exact, lsh, mih, regroup, report
+from twinfold.plans import cluster
+from twinfold.schema import ClusterOptions
+from twinfold.session import materialize
+
+OPTIONS = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40)
+
+
+def _docs(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
+    return sources.document_fingerprints(spark, d, vectors)
+
+
+def _reps(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(exact.representatives(_docs(spark, d)), "representatives")
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(_docs(spark, d, True), "rows")
+    return rows, materialize(cluster.cluster_duplicates(rows, OPTIONS), "clusters")
+
+
+def _deleted(rows: DataFrame) -> DataFrame:
+    return rows.where("ord % 3 = 0").select("id")
+
+
+def exact_groups(spark, d):
+    return exact.positioned(exact.exact_members(_docs(spark, d)))
+
+
+def representatives(spark, d):
+    return exact.representatives(_docs(spark, d)).select("id", "ord")
+
+
+def sha256_hash(spark, d):
+    return _docs(spark, d).select("id", "content_hash")
+
+
+def dhash(spark, d):
+    return sources.document_grids(spark, d).select("id", S.difference_hash(S.checked_grid(F.col("luminance"))).alias("perceptual_hash"))
+
+
+def exposure(spark, d):
+    grids = sources.document_grids(spark, d).select("id", S.exposure(F.col("luminance")).alias("e"))
+    return grids.select("id", "e.classification", F.round("e.mean_luminance", 6).alias("mean_luminance"), F.round("e.dark_pixel_ratio", 6).alias("dark_pixel_ratio"), F.round("e.bright_pixel_ratio", 6).alias("bright_pixel_ratio"))
+
+
+def exposure_labels(spark, d):
+    return exposure(spark, d).select("id", S.exposure_label(F.col("classification")).alias("label"))
+
+
+def luminance(spark, d):
+    g = sources.document_grids(spark, d)
+    at = lambda k: F.element_at("luminance", k)
+    return g.select("id", S.luminance(at(1), at(2), at(3)).alias("luminance"))
+
+
+def rgb_normalise(spark, d):
+    g = sources.document_grids(spark, d)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.element_at("luminance", k * 3 + 1) * 65536 + F.element_at("luminance", k * 3 + 2) * 256 + F.element_at("luminance", k * 3 + 3))
+    return g.select("id", F.posexplode(S.normalised_rgb(pixels)).alias("pos", "v")).select("id", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+def hamming_pairs(spark, d):
+    return mih.mih_pairs(_reps(spark, d), 4)
+
+
+def mih_blocks(spark, d):
+    return mih.mih_blocks(_reps(spark, d), 8).select("ord", "block", "key")
+
+
+def mih_candidates_exact(spark, d):
+    return mih.mih_pairs(_reps(spark, d), 8)
+
+
+def mih_candidates_capped(spark, d):
+    return mih.mih_pairs(_reps(spark, d), 8, 256)
+
+
+def metadata_filter_pairs(spark, d):
+    reps = _reps(spark, d)
+    return cluster._sides(mih.mih_pairs(reps, 8), reps, *cluster.META).select("q", "c", cluster._metadata().alias("passes"))
+
+
+def _signatures(spark, d) -> tuple[DataFrame, int]:
+    rows = sources.embedding_fingerprints(spark, d)
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    bits = lsh.signature_bits(shape["n"])
+    return materialize(lsh.signatures(rows, bits, shape["d"]), "signatures"), bits
+
+
+def lsh_signatures(spark, d):
+    sigs, _ = _signatures(spark, d)
+    return sigs.select("ord", F.posexplode("sigs").alias("tbl", "sig"))
+
+
+def lsh_candidates(spark, d):
+    return lsh.lsh_candidates(*_signatures(spark, d), None)
+
+
+def lsh_candidates_capped(spark, d):
+    return lsh.lsh_candidates(*_signatures(spark, d))
+
+
+def cosine_pairs(spark, d):
+    rows = sources.embedding_fingerprints(spark, d)
+    pairs = cluster.related_comparisons(rows, rows.limit(0).select("ord", F.col("ord").alias("group_id")), OPTIONS)
+    return pairs.where(F.col("cosine") >= F.lit(0.40).cast("float")).select("q", "c", F.round(F.col("cosine").cast("double"), 5).alias("cosine"))
+
+
+def modified_groups(spark, d):
+    return exact.positioned(cluster.modified_members(_reps(spark, d), OPTIONS))
+
+
+def related_groups(spark, d):
+    return cluster.cluster_duplicates(sources.embedding_fingerprints(spark, d), OPTIONS)
+
+
+def cluster_all(spark, d):
+    return cluster.cluster_duplicates(_docs(spark, d, True), OPTIONS)
+
+
+def singletons(spark, d):
+    rows = materialize(_docs(spark, d, True), "rows")
+    options = ClusterOptions(8, 0.40, include_singletons=True)
+    out = cluster.cluster_duplicates(rows, options)
+    alone = out.groupBy("kind", "group_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return alone.select("kind", "id")
+
+
+def evidence_pairs(spark, d):
+    rows, groups = _clustered(spark, d)
+    out = evidence.evidence_pairs(groups, rows)
+    return out.withColumn("cosine_similarity", F.round(F.col("cosine_similarity").cast("double"), 5))
+
+
+def cleanup_suggestions(spark, d):
+    return report.cleanup_suggestions(_clustered(spark, d)[1])
+
+
+def selected_bytes(spark, d):
+    rows, groups = _clustered(spark, d)
+    return report.selected_bytes(rows, report.cleanup_suggestions(groups))
+
+
+def summary_counts(spark, d):
+    rows, groups = _clustered(spark, d)
+    return report.summary_counts(rows, groups, exposure(spark, d))
+
+
+def numbered_groups(spark, d):
+    return report.numbered_groups(_clustered(spark, d)[1])
+
+
+def delete_regroup(spark, d):
+    rows, groups = _clustered(spark, d)
+    return regroup.regroup(groups, _deleted(rows))
+
+
+def delete_rows(spark, d):
+    rows = _docs(spark, d)
+    return regroup.delete_rows(rows, _deleted(rows)).select("id")
+
+
+def embedding_comparisons(spark, d):
+    return cluster.comparison_count(_docs(spark, d, True), OPTIONS)
+
+
+def l2_normalise(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    scaled = F.transform("embedding", lambda x: x * F.lit(3).cast("float"))
+    return e.select("vec_id", F.posexplode(S.l2_normalise(scaled)).alias("pos", "v")).select("vec_id", "pos", F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
+def format_bytes(spark, d):
+    return _docs(spark, d).select("id", S.format_bytes(F.col("file_size") * 97 - 9700).alias("text"))
+
+
+def format_number(spark, d):
+    return _docs(spark, d).select("id", S.format_number(F.col("file_size")).alias("text"))
+
+
+def preview_size(spark, d):
+    p = S.preview_size(F.col("width"), F.col("height"))
+    return _docs(spark, d).select("id", p.getField("width").alias("width"), p.getField("height").alias("height"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        exact_groups, representatives, sha256_hash, dhash, exposure, exposure_labels, luminance, rgb_normalise, hamming_pairs, mih_blocks,
+        mih_candidates_exact, mih_candidates_capped, metadata_filter_pairs, lsh_signatures, lsh_candidates, lsh_candidates_capped,
+        cosine_pairs, modified_groups, related_groups, cluster_all, singletons, evidence_pairs, cleanup_suggestions, selected_bytes,
+        summary_counts, numbered_groups, delete_regroup, delete_rows, embedding_comparisons, l2_normalise, format_bytes, format_number, preview_size,
+    )
+}
