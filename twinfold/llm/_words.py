@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class WordMemo:
@@ -15,9 +19,15 @@ class WordMemo:
     that is met again moves to the young one, so frequent words stay.  What is held changes no result.
     """
 
-    def __init__(self, fill: Callable[[list], Sequence[Any]], limit: int = 800_000):
+    def __init__(self, fill: Callable[[list], Sequence[Any]], limit: int = 200_000):
         self.fill, self.limit, self.young, self.old = fill, limit, {}, {}
 
+    def clear(self) -> None:
+        """Give the memory back: Python workers outlive a task."""
+        self.young, self.old = {}, {}
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
+
     def look_up(self, texts: Sequence[Sequence]) -> dict:
         """The memo, holding all words of ``texts`` until the next call."""
         if len(self.young) > self.limit // 2:
@@ -84,3 +94,11 @@ class IntTable:
             go = ~hit & (self.value[at] >= 0)
             open_, at = open_[go], at[go]
         return out
+
+
+def text_slices(batch: pa.RecordBatch, column: int, budget: int = 1_000_000) -> Iterator[tuple[int, int, list]]:
+    """``(start, end, texts)`` of neighbouring rows of about ``budget`` bytes, turned into Python strings piece by piece."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in chunks(sizes, budget):
+        yield a, b, texts.slice(a, b - a).to_pylist()

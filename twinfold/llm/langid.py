@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm._words import IntTable, WordMemo, chunks
+from twinfold.llm._words import IntTable, WordMemo, chunks, text_slices
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 20_000
@@ -141,7 +141,7 @@ class Scorer:
     def __init__(self, langs: list[str], prob: np.ndarray, model_file: str):
         self.langs, self.prob, self.own = langs, prob, pieces(model_file)
         self.width = len(langs) + 1
-        self.memo = WordMemo(self.fill, min(800_000, max(20_000, 80_000_000 // (8 * self.width))))
+        self.memo = WordMemo(self.fill, min(200_000, max(20_000, 80_000_000 // (8 * self.width))))
 
     def fill(self, words: Sequence[str]) -> list[bytes]:
         """For each word the logarithm of its probability by language, and 1 if it has a letter; else all are 0."""
@@ -167,7 +167,7 @@ class Scorer:
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of every whole text; ``und`` and 0 where it has no letter."""
         labels, scores = [], []
-        for a, b in chunks([len(t or "") for t in texts], 2_000_000):
+        for a, b in chunks([len(t or "") for t in texts], 1_000_000):
             words = [words_of(t or "") for t in texts[a:b]]
             of = self.memo.look_up(words)
             for ws in words:
@@ -214,8 +214,15 @@ def predict_languages(docs: DataFrame, labelled: DataFrame, model_file: str, tex
         for batch in batches:
             if not scorers:
                 scorers["one"] = Scorer(*model.value, model_file)
-            labels, scores = scorers["one"].predict(batch.column(at).to_pylist())
+            labels, scores = [], []
+            for _, _, texts in text_slices(batch, at):
+                found = scorers["one"].predict(texts)
+                labels += found[0]
+                scores += found[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang", "_score"])
+        for scorer in scorers.values():
+            scorer.memo.clear()
+        scorers.clear()
 
     from pyspark.sql import types as T
 

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm._words import WordMemo, chunks
+from twinfold.llm._words import WordMemo, chunks, text_slices
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -30,7 +30,7 @@ _NONE = np.int32(2**31 - 1)
 class PieceCodec:
     """Encodes and decodes as the sentencepiece library does with a BPE model of plain pieces and byte fallback."""
 
-    def __init__(self, model_file: str, memo_words: int = 800_000):
+    def __init__(self, model_file: str, memo_words: int = 200_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -232,7 +232,7 @@ class PieceCodec:
         """The ids of every whole text; null counts as empty."""
         tail = np.array([self.eos], "<i4").tobytes() if eos else b""
         out: list[np.ndarray] = []
-        for a, b in chunks([len(t or "") for t in texts], 2_000_000):
+        for a, b in chunks([len(t or "") for t in texts], 1_000_000):
             words = [self.split(t or "") for t in texts[a:b]]
             of = self.memo.look_up(words)
             out += [np.frombuffer(b"".join([of[w] for w in ws]) + tail, "<i4") for ws in words]
@@ -291,12 +291,12 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], 4_000_000):
-                ids = codec(model_file).encode(texts[a:b], eos)
+            for a, b, texts in text_slices(batch, 1):
+                ids = codec(model_file).encode(texts, eos)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+        codec(model_file).memo.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -312,14 +312,14 @@ def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             counts, shas, back = [], [], []
-            for a, b in chunks([len(t or "") for t in texts], 4_000_000):
-                for ids in own.encode(texts[a:b]):
+            for _, _, texts in text_slices(batch, 1):
+                for ids in own.encode(texts):
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(b" ".join([own.decimal[i] for i in ids.tolist()])).hexdigest())
                     back.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.memo.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -244,6 +244,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                 writer.write(i, payload + tail)
                 docs_ += 1
                 tokens += len(payload) // bpe.dtype.itemsize + 1
+        bpe.memo.clear()
         if writer is not None:
             writer.close()
             sink.close()
