@@ -27,6 +27,12 @@ def test_chunks_equal_whole_text(text):
     assert np.frombuffer(BPE.encode([text])[0], BPE.dtype).tolist() == want(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abZ éßñ.,!ªº²1\u0250'\n")), max_size=6))
+def test_batches_equal_whole_texts(texts):
+    assert [np.frombuffer(x, BPE.dtype).tolist() for x in BPE.encode(texts)] == [want(t) for t in texts]
+
+
 def made(frame_tokens=10):
     out = io.BytesIO()
     w = sut.TokenFileWriter(out, np.uint16, frame_tokens)

@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -53,6 +54,12 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         #: Bytes of text that each id stands for: byte-level vocabularies write one character a byte.
         self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
+        #: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept]
+        self.letters = {b: 256 + k for k, b in enumerate(rest)}
+        self.model = self.library.model
+        self.mark = {p: np.array(self.library.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in ".,;:!?"}
         self.memo = WordMemo(self._fill, memo_words)
 
     def _fill(self, keys: Sequence[str]) -> list[bytes]:
@@ -62,8 +69,20 @@ class ByteBpe:
         for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
             for k, e in zip(own[a:b], self.library.encode_batch_fast([keys[k][1:] for k in own[a:b]], add_special_tokens=False), strict=True):
                 out[k] = np.array(e.ids, self.dtype).tobytes()
-        joined = [k for k, w in enumerate(keys) if w[0] != " "]
-        sizes = [(len(w) if w.isascii() else len(w.encode())) + 1 for w in keys if w[0] != " "]
+        # a word of letters is one unit of the pre-tokenizer, a mark at its end another: the library's model takes them as
+        # they are; letters are those below U+0250, which every version of Unicode agrees on
+        joined, tokenize, kind = [], self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for k, w in enumerate(keys):
+            if w[0] == " ":
+                continue
+            word, tail = (w[:-1], self.mark[w[-1]]) if w[-1] in self.mark else (w, b"")
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in tokenize("\u0120" + shown)]
+                out[k] = struct.pack(f"<{len(ids)}{kind}", *ids) + tail
+            else:
+                joined.append(k)
+        sizes = [len(keys[k].encode()) + 1 for k in joined]
         for a, b in chunks(sizes, 200_000):
             (e,) = self.library.encode_batch_fast([" " + " ".join([keys[k] for k in joined[a:b]])], add_special_tokens=False)
             ids = np.array(e.ids, np.int64)
@@ -96,13 +115,37 @@ class ByteBpe:
         return parts[1:]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of every whole text; null counts as empty."""
         out: list[bytes] = []
-        for a, b in chunks([len(t or "") for t in texts], 2_000_000):
-            words = [self.split(t or "") for t in texts[a:b]]
-            of = self.memo.look_up(words)
-            out += [b"".join([of[w] for w in ws]) for ws in words]
+        for a, b in chunks([len(t or "") for t in texts], 4_000_000):
+            out += self._encode(texts[a:b])
         return out
 
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Texts without odd blanks are cut and made distinct by Arrow; Python sees each distinct chunk once."""
+        odd = {k for k, t in enumerate(texts) if not t or self.whole or _HARD.search(t)}
+        plain = [t for k, t in enumerate(texts) if k not in odd]
+        hard = {k: self.split(texts[k] or "") for k in odd}
+        parts = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        ends = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        starts = ends[:-1]
+        heads = [words[i] for i in index[starts].tolist()]
+        follow = [w or None for w in words]  # an empty chunk is only ever the head of a text that opens with a space
+        of = self.memo.look_up([[w for w in follow if w], [" " + h for h in heads if h], *hard.values()])
+        ids = [of[w] if w else b"" for w in follow] + [of[" " + h] if h else b"" for h in heads]
+        index[starts] = len(words) + np.arange(len(heads))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
+        lens = sizes[index]
+        done = np.cumsum(lens)
+        gathered = flat[np.repeat(at[index] - (done - lens), lens) + np.arange(done[-1] if len(done) else 0)]
+        stops = np.concatenate([[0], done])[ends] * self.dtype.itemsize
+        data = gathered.tobytes()
+        found = iter([data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)])
+        return [b"".join([of[w] for w in hard[k]]) if k in odd else next(found) for k in range(len(texts))]
+
 
 class TokenFileWriter:
     """Writes documents in the order they come."""
