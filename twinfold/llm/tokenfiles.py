@@ -255,6 +255,7 @@ def open_file(uri: str, mode: str = "r"):
     return fs.open_input_file(path) if mode == "r" else fs.open_output_stream(path)
 
 
+#: One encoder a Python worker; its bounded memo (about 200 MB when full) stays from task to task.
 _BPE: dict[tuple, ByteBpe] = {}
 
 
@@ -287,7 +288,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                 writer.write(i, payload + tail)
                 docs_ += 1
                 tokens += len(payload) // bpe.dtype.itemsize + 1
-        bpe.memo.clear()
         if writer is not None:
             writer.close()
             sink.close()
