@@ -78,3 +78,8 @@ def test_query_rows(spark):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expect
     assert sut.token_file_digests(df.limit(0), FILE).count() == 0
+
+
+@pytest.mark.parametrize("text", ["one.\ntwo", "one\ntwo\nthree four\n", "\none\n\ntwo", "é.\nß, a1\n'll", "a\r\nb \n c\n　d", "x\ny x\ny " * 3])
+def test_chunks_are_cut_at_single_line_feeds(text):
+    assert np.frombuffer(BPE.encode([text, "y", text])[2], BPE.dtype).tolist() == want(text)

@@ -13,6 +13,7 @@ A reader takes the footer, the seek table and the index, and decompresses only f
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -57,45 +58,77 @@ class ByteBpe:
         #: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
-        self.letters = {b: 256 + k for k, b in enumerate(rest)}
-        self.model = self.library.model
+        place = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.alphabet = "".join(place.get(b, chr(b)) for b in range(256))
+        #: The same model without a pre-tokenizer, for units that are cut and written in that alphabet already.
+        self.units = Tokenizer(self.library.model)
         self.mark = {p: np.array(self.library.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in ".,;:!?"}
+        self.feed = np.array(self.library.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
         self.memo = WordMemo(self._fill, memo_words)
 
     def _fill(self, keys: Sequence[str]) -> list[bytes]:
         """Ids of each chunk.  Chunks that open with a space and more may follow each other in one text as well."""
         out: list[bytes] = [b""] * len(keys)
-        own = [k for k, w in enumerate(keys) if w[0] == " "]
-        for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
-            for k, e in zip(own[a:b], self.library.encode_batch_fast([keys[k][1:] for k in own[a:b]], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, self.dtype).tobytes()
+        # a line feed between other characters than white space is a unit of its own: chunks are cut there once more
+        lines = {k: cut for k, w in enumerate(keys) if "\n" in w and (cut := self._lines(w))}
+        if lines:
+            of = self.memo.young
+            new = list({p for cut in lines.values() for p in cut if p not in of})
+            of.update(zip(new, self._fill(new), strict=True))
+            for k, cut in lines.items():
+                out[k] = self.feed.join([of[p] for p in cut])
         # a word of letters is one unit of the pre-tokenizer, a mark at its end another: the library's model takes them as
         # they are; letters are those below U+0250, which every version of Unicode agrees on
-        joined, tokenize, kind = [], self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        letters, shown, tails, own, joined = [], [], [], [], []
         for k, w in enumerate(keys):
-            if w[0] == " ":
+            if k in lines:
                 continue
             word, tail = (w[:-1], self.mark[w[-1]]) if w[-1] in self.mark else (w, b"")
+            start = "\u0120"
+            if word[:1] == " ":
+                word, start = word[1:], ""
             if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in tokenize("\u0120" + shown)]
-                out[k] = struct.pack(f"<{len(ids)}{kind}", *ids) + tail
-            else:
+                letters.append(k)
+                shown.append(start + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0]))
+                tails.append(tail)
+            elif start:
                 joined.append(k)
-        sizes = [len(keys[k].encode()) + 1 for k in joined]
-        for a, b in chunks(sizes, 200_000):
+            else:
+                own.append(k)
+        for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
+            for k, e in zip(own[a:b], self.library.encode_batch_fast([keys[k][1:] for k in own[a:b]], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.dtype).tobytes()
+        sizes = np.fromiter(map(len, shown), np.int64, len(shown))
+        for a, b in chunks(sizes.tolist(), 200_000):
+            (e,) = self.units.encode_batch_fast([shown[a:b]], is_pretokenized=True, add_special_tokens=False)
+            for k, ids, tail in zip(letters[a:b], self._cut(e.ids, sizes[a:b]), tails[a:b], strict=True):
+                out[k] = ids + tail
+        sizes = np.array([len(keys[k].encode()) + 1 for k in joined], np.int64)
+        for a, b in chunks(sizes.tolist(), 200_000):
             (e,) = self.library.encode_batch_fast([" " + " ".join([keys[k] for k in joined[a:b]])], add_special_tokens=False)
-            ids = np.array(e.ids, np.int64)
-            at, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[a:b])
-            stops = np.searchsorted(at, ends)
-            if not np.array_equal(at[stops], ends):
-                raise ValueError("a piece crosses the end of a chunk")
-            data, start = ids.astype(self.dtype).tobytes(), 0
-            for k, stop in zip(joined[a:b], ((stops + 1) * self.dtype.itemsize).tolist(), strict=True):
-                out[k] = data[start:stop]
-                start = stop
+            for k, ids in zip(joined[a:b], self._cut(e.ids, sizes[a:b]), strict=True):
+                out[k] = ids
         return out
 
+    @staticmethod
+    def _lines(key: str) -> list[str] | None:
+        """The keys of the lines of a chunk, if no white space but single line feeds stands at their ends."""
+        head, rest = (" ", key[1:]) if key[0] == " " else ("", key)
+        parts = rest.split("\n")
+        if len(parts) < 2 or not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            return None
+        return [head + parts[0], *[" " + p for p in parts[1:]]]
+
+    def _cut(self, ids: Sequence[int], sizes: np.ndarray) -> list[bytes]:
+        """The ids of neighbouring chunks of so many bytes each."""
+        flat = np.array(ids, np.int64)
+        at, ends = np.cumsum(self.bytes_of[flat]), np.cumsum(sizes)
+        stops = np.searchsorted(at, ends)
+        if not np.array_equal(at[stops], ends):
+            raise ValueError("a piece crosses the end of a chunk")
+        data, stops = flat.astype(self.dtype).tobytes(), ((stops + 1) * self.dtype.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
     def split(self, text: str) -> list[str]:
         """The chunks of a text: a key without a space in front stands for a space and itself, any other for what follows its first space."""
         if self.whole or not text:
@@ -129,7 +162,7 @@ class ByteBpe:
         parts = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         ends = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         starts = ends[:-1]
         heads = [words[i] for i in index[starts].tolist()]
         follow = [w or None for w in words]  # an empty chunk is only ever the head of a text that opens with a space
