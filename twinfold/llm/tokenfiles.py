@@ -354,9 +354,9 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                             start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    # the manifest has one row a file; each file is read by a task of its own
+    # the manifest has one row a file; with a stated number of partitions adaptive execution does not join the reads
     files = manifest.withColumn("start", before.cast("long")).select("file", "start")
-    return files.repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame:
