@@ -140,4 +140,28 @@ ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS text FROM (SELECT 'd' ||
     "format_number": "SELECT 'd' || doc_id AS id, printf('%.0f', strlen(text)::DOUBLE) AS text FROM documents",
     "preview_size": """SELECT id, greatest(1, floor(w * s + 0.5))::INT AS width, greatest(1, floor(h * s + 0.5))::INT AS height FROM
 (SELECT *, least(1.0::DOUBLE, 512.0::DOUBLE / greatest(w, h, 1)) AS s FROM (SELECT 'd' || doc_id AS id, length(text) AS w, len(string_split(text, chr(10))) AS h FROM documents))""",
+    "hash_components": _q(_exact_pairs(4) + _components("joined", "pairs"), "SELECT ord AS node, group_id AS component FROM joined"),
+    "application_groups": _q(CLUSTER, "SELECT kind, group_id, member_pos, id FROM clusters"),
+    "evidence_preview": _q(CLUSTER, """SELECT kind, group_id, left_id, right_id, hamming_distance FROM (
+SELECT l.kind, l.group_id, l.id AS left_id, r.id AS right_id, bit_count(xor(q.h, c.h))::INT AS hamming_distance, row_number() OVER (PARTITION BY l.kind, l.group_id ORDER BY l.member_pos, r.member_pos) AS n
+FROM clusters l JOIN clusters r ON l.kind = r.kind AND l.group_id = r.group_id AND l.member_pos < r.member_pos JOIN docs q ON q.ord = l.ord JOIN docs c ON c.ord = r.ord) WHERE n <= 3"""),
+    "evidence_labels": _q(CLUSTER, f"""SELECT kind, group_id, left_id, right_id, CASE kind WHEN 'EXACT' THEN 'Identical content (SHA-256)' WHEN 'MODIFIED_COPY' THEN bits || ' • ' || model ELSE model || ' • ' || bits END AS label FROM (
+SELECT l.kind, l.group_id, l.id AS left_id, r.id AS right_id, 'dHash ' || bit_count(xor(q.h, c.h)) || '/64 (passes at ≤ 8)' AS bits,
+  'MobileNet ' || printf('%.1f%%', round((CASE WHEN len(q.embedding) > 0 AND len(c.embedding) > 0 THEN {_COSINE} ELSE 0::FLOAT END * 100::FLOAT)::DOUBLE, 1)) AS model,
+  row_number() OVER (PARTITION BY l.kind, l.group_id ORDER BY l.member_pos, r.member_pos) AS n
+FROM clusters l JOIN clusters r ON l.kind = r.kind AND l.group_id = r.group_id AND l.member_pos < r.member_pos JOIN docs q ON q.ord = l.ord JOIN docs c ON c.ord = r.ord) WHERE n <= 20"""),
+    "selection_evidence": _q(DOCS, """SELECT left_id, right_id, exact_match, hamming_distance FROM (
+SELECT q.id AS left_id, c.id AS right_id, q.content_hash = c.content_hash AS exact_match, bit_count(xor(q.h, c.h))::INT AS hamming_distance, row_number() OVER (ORDER BY q.ord, c.ord) AS n
+FROM docs q JOIN docs c ON q.ord < c.ord) WHERE n <= 20"""),
+    "flat_groups": _q(CLUSTER, """SELECT group_id, CASE kind WHEN 'EXACT' THEN '0' WHEN 'MODIFIED_COPY' THEN '1' ELSE '2' END || ',' || count(*) || ',' || string_agg(id, ',' ORDER BY member_pos) AS flat
+FROM clusters GROUP BY kind, group_id"""),
+    "member_chunks": _q(CLUSTER, "SELECT kind, group_id, id, ((member_pos - 1) // 2)::INT AS chunk FROM clusters"),
+    "toggled_selection": "SELECT 'd' || doc_id AS id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'd1'",
+    "delete_message": "SELECT 'Deleted ' || count(*) FILTER (WHERE doc_id % 3 = 0) || ' of ' || count(*) || ' photos' AS message FROM documents",
+    "display_names": "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, nullif(lang, ''), 'Unnamed image') AS display_name FROM documents",
+    "selected_files": _q(REPS, "SELECT id, ord FROM reps ORDER BY ord LIMIT 100"),
+    "columnar_source": """SELECT k::VARCHAR AS id, vec_id || '-' || k AS content_hash, vec_id AS perceptual_hash, 9 AS width, 72::BIGINT AS file_size, round(embedding[k::INT * 16 + 1]::DOUBLE, 6) AS first_value
+FROM embeddings, (SELECT unnest(range(0, 4)) AS k)""",
+    "progress_ratio": "SELECT 'd' || doc_id AS id, round(CASE WHEN strlen(text) > 0 THEN doc_id::DOUBLE / strlen(text) ELSE 0 END::FLOAT::DOUBLE, 4) AS ratio FROM documents",
+    "plural_labels": "SELECT 'd' || doc_id AS id, doc_id || ' photo' || CASE WHEN doc_id = 1 THEN '' ELSE 's' END AS label FROM documents",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from twinfold import sources
 from twinfold.functions import scalar as S
 from twinfold.operators import evidence, exact, lsh, mih, regroup, report
+from twinfold.operators.components import connected_components
 from twinfold.plans import cluster
 from twinfold.schema import ClusterOptions
 from twinfold.session import materialize
@@ -197,6 +198,76 @@ def preview_size(spark, d):
     return _docs(spark, d).select("id", p.getField("width").alias("width"), p.getField("height").alias("height"))
 
 
+def hash_components(spark, d):
+    return connected_components(mih.mih_pairs(_reps(spark, d), 4), "q", "c")
+
+
+def application_groups(spark, d):
+    return cluster.find_duplicate_groups(_docs(spark, d, True), 8, 0.40)
+
+
+def evidence_preview(spark, d):
+    rows, groups = _clustered(spark, d)
+    return evidence.evidence_pairs(groups, rows, 3).select("kind", "group_id", "left_id", "right_id", "hamming_distance")
+
+
+def evidence_labels(spark, d):
+    rows, groups = _clustered(spark, d)
+    label = S.evidence_label(F.col("kind"), F.col("hamming_distance"), F.col("cosine_similarity"))
+    return evidence.evidence_pairs(groups, rows).select("kind", "group_id", "left_id", "right_id", label.alias("label"))
+
+
+def selection_evidence(spark, d):
+    rows = _docs(spark, d, True)
+    whole = rows.select(F.lit("ALL").alias("kind"), F.lit(0).cast("long").alias("group_id"), F.col("ord").alias("member_pos"), "id")
+    return evidence.evidence_pairs(whole, rows).select("left_id", "right_id", "exact_match", "hamming_distance")
+
+
+def flat_groups(spark, d):
+    return report.flat_groups(_clustered(spark, d)[1]).select("group_id", F.array_join("flat", ",").alias("flat"))
+
+
+def member_chunks(spark, d):
+    return report.chunked(_clustered(spark, d)[1]).select("kind", "group_id", "id", "chunk")
+
+
+def toggled_selection(spark, d):
+    return report.toggle(_deleted(_docs(spark, d)), "d1")
+
+
+def delete_message(spark, d):
+    return regroup.delete_message(_docs(spark, d).select("id", (F.col("ord") % 3 == 0).alias("ok")))
+
+
+def display_names(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name, path = F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.concat(F.lit("files/"), F.col("lang"))
+    return docs.select("doc_id", S.display_name(name, path).alias("display_name"))
+
+
+def selected_files(spark, d):
+    rows = _docs(spark, d).select("id", "ord", F.col("content_hash").alias("uri"))
+    return sources.select_first(rows, limit=100).select("id", "ord")
+
+
+def columnar_source(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    four = lambda c: F.array_repeat(c, 4)
+    names = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat_ws("-", F.col("vec_id"), k))
+    sized = [four(F.lit(n)).alias(c) for n, c in ((9, "widths"), (8, "heights"), (72, "file_sizes"))]
+    batches = e.select(names.alias("hashes"), four(F.col("vec_id")).alias("perceptual_hashes"), F.col("embedding").alias("vectors"), F.lit(16).alias("dimension"), *sized)
+    rows = sources.from_columns(batches)
+    return rows.select("id", "content_hash", "perceptual_hash", "width", "file_size", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"))
+
+
+def progress_ratio(spark, d):
+    return _docs(spark, d).select("id", F.round(S.progress_ratio(F.col("ord"), F.col("file_size")).cast("double"), 4).alias("ratio"))
+
+
+def plural_labels(spark, d):
+    return _docs(spark, d).select("id", S.plural(F.col("ord"), "photo").alias("label"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -204,5 +275,7 @@ QUERIES = {
         mih_candidates_exact, mih_candidates_capped, metadata_filter_pairs, lsh_signatures, lsh_candidates, lsh_candidates_capped,
         cosine_pairs, modified_groups, related_groups, cluster_all, singletons, evidence_pairs, cleanup_suggestions, selected_bytes,
         summary_counts, numbered_groups, delete_regroup, delete_rows, embedding_comparisons, l2_normalise, format_bytes, format_number, preview_size,
+        hash_components, application_groups, evidence_preview, evidence_labels, selection_evidence, flat_groups, member_chunks,
+        toggled_selection, delete_message, display_names, selected_files, columnar_source, progress_ratio, plural_labels,
     )
 }
