@@ -13,6 +13,12 @@ PASS = _PASS.format(q="q", c="c")
 GRIDS = """
 grids AS (SELECT doc_id, text, list_transform(range(0, 72), lambda k: CASE WHEN k < length(text) THEN unicode(substr(text, k::INT + 1, 1)) & 255 ELSE 0 END) AS l FROM documents),
 wide AS (SELECT *, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN l[(i // 8) * 9 + i % 8 + 1] > l[(i // 8) * 9 + i % 8 + 2] THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END))::HUGEINT AS u FROM grids)"""
+#: The same with the mean low byte of 72 equal spans of the whole text, in 256ths.
+WHOLE_GRIDS = """
+coded AS (SELECT doc_id, text, CASE WHEN length(text) = 0 THEN [0] ELSE list_transform(string_split(text, ''), lambda c: (unicode(c) & 255)::INT) END AS codes FROM documents),
+grids AS (SELECT doc_id, text, list_transform(range(0, 72), lambda k: (list_sum(list_slice(codes, k * len(codes) // 72 + 1, greatest((k + 1) * len(codes) // 72, k * len(codes) // 72 + 1)))::BIGINT * 256
+  // greatest((k + 1) * len(codes) // 72 - k * len(codes) // 72, 1))::INT) AS l FROM coded),
+""" + GRIDS[GRIDS.index("wide AS") :]
 DOCS = (
     GRIDS
     + """,
@@ -165,3 +171,11 @@ FROM embeddings, (SELECT unnest(range(0, 4)) AS k)""",
     "progress_ratio": "SELECT 'd' || doc_id AS id, round(CASE WHEN strlen(text) > 0 THEN doc_id::DOUBLE / strlen(text) ELSE 0 END::FLOAT::DOUBLE, 4) AS ratio FROM documents",
     "plural_labels": "SELECT 'd' || doc_id AS id, doc_id || ' photo' || CASE WHEN doc_id = 1 THEN '' ELSE 's' END AS label FROM documents",
 }
+
+#: Counterparts over the whole text of those that hash a text's prefix.
+WHOLE = (
+    "dhash", "hamming_pairs", "mih_blocks", "mih_candidates_exact", "mih_candidates_capped", "metadata_filter_pairs", "modified_groups", "cluster_all", "singletons",
+    "evidence_pairs", "cleanup_suggestions", "selected_bytes", "numbered_groups", "delete_regroup", "embedding_comparisons", "hash_components", "application_groups",
+    "evidence_preview", "evidence_labels", "selection_evidence", "flat_groups", "member_chunks",
+)
+ORACLES |= {f"whole_{name}": ORACLES[name].replace(GRIDS.strip(), WHOLE_GRIDS.strip()) for name in WHOLE}

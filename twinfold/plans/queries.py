@@ -1,11 +1,14 @@
 """The registered queries: every operator over the supplied tables.
 
 Documents serve as rows with a content hash, a hash of their first characters and dimensions; ``embeddings`` as rows with
-a vector.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
+a vector.  Those that start with ``whole_`` are the same with a hash of the whole text.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,32 @@ from twinfold.functions import scalar as S
 from twinfold.operators import evidence, exact, lsh, mih, regroup, report
 from twinfold.operators.components import connected_components
 from twinfold.plans import cluster
+from twinfold.plans.oracles import WHOLE
 from twinfold.schema import ClusterOptions
 from twinfold.session import materialize
 
+#: Set while a ``whole_`` counterpart is planned: hashes are then of the whole text.
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 OPTIONS = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40)
 
 
+def _grid() -> Callable:
+    return sources.whole_grid if _WHOLE.get() else sources.prefix_grid
+
+
+def _whole(query: Callable) -> Callable:
+    def of(spark: SparkSession, d: str) -> DataFrame:
+        token = _WHOLE.set(True)
+        try:
+            return query(spark, d)
+        finally:
+            _WHOLE.reset(token)
+
+    return of
+
+
 def _docs(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    return sources.document_fingerprints(spark, d, vectors)
+    return sources.document_fingerprints(spark, d, vectors, _grid())
 
 
 def _reps(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +71,7 @@ def sha256_hash(spark, d):
 
 
 def dhash(spark, d):
-    return sources.document_grids(spark, d).select("id", S.difference_hash(S.checked_grid(F.col("luminance"))).alias("perceptual_hash"))
+    return sources.document_grids(spark, d, _grid()).select("id", S.difference_hash(S.checked_grid(F.col("luminance"))).alias("perceptual_hash"))
 
 
 def exposure(spark, d):
@@ -279,3 +300,4 @@ QUERIES = {
         toggled_selection, delete_message, display_names, selected_files, columnar_source, progress_ratio, plural_labels,
     )
 }
+QUERIES |= {f"whole_{name}": _whole(QUERIES[name]) for name in WHOLE}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,47 @@ def prefix_grid(text) -> F.Column:
     return S.let(F.substring(text, 1, 72), lambda p: F.transform(F.sequence(F.lit(0), F.lit(71)), lambda k: value(p, k)))
 
 
-def document_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, ord, luminance)`` of the documents."""
+def text_codes(text) -> F.Column:
+    """The low byte of every character of a text; one 0 for an empty text."""
+    return F.transform(F.split(text, ""), lambda c: F.ascii(c).bitwiseAND(255))
+
+
+def whole_grid(text) -> F.Column:
+    """72 values of a text: the mean low byte of each of 72 equal spans, in 256ths; spans of a short text share characters.
+
+    256ths, as spans of long texts have whole means that are equal, and a tie leaves a bit of the hash unset.
+    """
+
+    def spans(codes: F.Column) -> F.Column:
+        n = F.size(codes).cast("long")
+        cut = lambda k: F.floor(k * n / 72)
+
+        def value(k: F.Column) -> F.Column:
+            lo = cut(k)
+            size = F.greatest(cut(k + 1) - lo, F.lit(1))
+            total = F.aggregate(F.slice(codes, (lo + 1).cast("int"), size.cast("int")), F.lit(0).cast("long"), lambda s, x: s + x)
+            return F.floor(total * 256 / size).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(71)), value)
+
+    return S.let(text_codes(text), spans)
+
+
+def document_grids(spark: SparkSession, sf_dir: str, values: Callable = prefix_grid) -> DataFrame:
+    """``(id, ord, luminance)`` of the documents, with what ``values`` makes of a text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("doc_id").alias("ord"), prefix_grid(F.col("text")).alias("luminance"))
+    return docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("doc_id").alias("ord"), values(F.col("text")).alias("luminance"))
 
 
-def document_fingerprints(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    """Documents as fingerprint rows; with ``vectors`` those of ``embeddings`` with the same number."""
+def document_fingerprints(spark: SparkSession, sf_dir: str, vectors: bool = True, grid: Callable = prefix_grid) -> DataFrame:
+    """Documents as fingerprint rows, hashed by ``grid``; with ``vectors`` those of ``embeddings`` with the same number."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.col("text")
     rows = docs.select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("id"),
         F.col("doc_id").alias("ord"),
         S.sha256_hex(text).alias("content_hash"),
-        S.difference_hash(prefix_grid(text)).alias("perceptual_hash"),
+        S.difference_hash(grid(text)).alias("perceptual_hash"),
         F.char_length(text).alias("width"),
         F.size(F.split(text, "\n", -1)).alias("height"),
         F.octet_length(text).cast("long").alias("file_size"),
