@@ -44,3 +44,15 @@ def test_counterparts_hash_the_whole_text(spark, tmp_path):
     cut = {r["perceptual_hash"] for r in QUERIES["dhash"](spark, str(tmp_path)).collect()}
     whole = {r["perceptual_hash"] for r in QUERIES["whole_dhash"](spark, str(tmp_path)).collect()}
     assert (len(cut), len(whole)) == (1, 2)
+
+
+def test_exposure_and_triples_take_every_character(spark, tmp_path):
+    texts = ["\x01" * 72 + "\xf5" * 600, "abcdefg", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {r["id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert [got(n)["d0"]["classification"] for n in ("exposure", "whole_exposure")] == ["UNDEREXPOSED", "OVEREXPOSED"]
+    assert got("whole_exposure")["d0"]["mean_luminance"] == round((72 + 0xF5 * 600) / 672, 6)
+    codes = [ord(c) for c in "abcdefg"] + [0, 0]
+    assert got("whole_luminance")["d1"]["luminance"] == [int(0.299 * r + 0.587 * g + 0.114 * b) for r, g, b in zip(*[iter(codes)] * 3)]
+    assert got("whole_rgb_normalise")["d1"]["value"] == pytest.approx([c / 255 for c in codes], abs=1e-6)
+    assert len(got("whole_luminance")["d0"]["luminance"]) == 224 and got("whole_luminance")["d2"]["luminance"] == [0]

@@ -179,3 +179,14 @@ WHOLE = (
     "evidence_preview", "evidence_labels", "selection_evidence", "flat_groups", "member_chunks",
 )
 ORACLES |= {f"whole_{name}": ORACLES[name].replace(GRIDS.strip(), WHOLE_GRIDS.strip()) for name in WHOLE}
+
+#: Counterparts that take every character's value, not a grid.
+_CODES = WHOLE_GRIDS[: WHOLE_GRIDS.index("grids AS")].strip().rstrip(",")
+_WHOLE_EXPOSED = _EXPOSED.replace("list_sum(l)::DOUBLE / 72", "list_sum(codes)::DOUBLE / len(codes)").replace("list_filter(l,", "list_filter(codes,").replace("/ 72.0::DOUBLE", "/ len(codes)::DOUBLE").replace("FROM grids", "FROM coded")
+_TRIPLES = _CODES + ", triples AS (SELECT 'd' || doc_id AS id, list_concat(codes, list_transform(range(0, (3 - len(codes) % 3) % 3), lambda k: 0)) AS t FROM coded)"
+WHOLE_VALUES = ("exposure", "exposure_labels", "summary_counts", "luminance", "rgb_normalise")
+ORACLES |= {f"whole_{name}": ORACLES[name].replace(GRIDS.strip(), _CODES).replace(_EXPOSED, _WHOLE_EXPOSED) for name in WHOLE_VALUES[:2]} | {
+    "whole_summary_counts": ORACLES["summary_counts"].replace(GRIDS.strip(), WHOLE_GRIDS.strip()).replace(_EXPOSED, _WHOLE_EXPOSED),
+    "whole_luminance": _q(_TRIPLES, "SELECT id, list_transform(range(0, len(t) // 3), lambda k: trunc(0.299::DOUBLE * t[k * 3 + 1] + 0.587::DOUBLE * t[k * 3 + 2] + 0.114::DOUBLE * t[k * 3 + 3])::INT) AS luminance FROM triples"),
+    "whole_rgb_normalise": _q(_TRIPLES, "SELECT id, list_transform(t, lambda x: round((x / 255.0::DOUBLE)::FLOAT::DOUBLE, 6)) AS value FROM triples"),
+}

@@ -1,7 +1,7 @@
 """The registered queries: every operator over the supplied tables.
 
 Documents serve as rows with a content hash, a hash of their first characters and dimensions; ``embeddings`` as rows with
-a vector.  Those that start with ``whole_`` are the same with a hash of the whole text.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
+a vector.  Those that start with ``whole_`` are the same over the whole text.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from twinfold.functions import scalar as S
 from twinfold.operators import evidence, exact, lsh, mih, regroup, report
 from twinfold.operators.components import connected_components
 from twinfold.plans import cluster
-from twinfold.plans.oracles import WHOLE
+from twinfold.plans.oracles import WHOLE, WHOLE_VALUES
 from twinfold.schema import ClusterOptions
 from twinfold.session import materialize
 
@@ -30,6 +30,10 @@ def _grid() -> Callable:
     return sources.whole_grid if _WHOLE.get() else sources.prefix_grid
 
 
+def _values() -> Callable:
+    return sources.text_codes if _WHOLE.get() else sources.prefix_grid
+
+
 def _whole(query: Callable) -> Callable:
     def of(spark: SparkSession, d: str) -> DataFrame:
         token = _WHOLE.set(True)
@@ -75,7 +79,7 @@ def dhash(spark, d):
 
 
 def exposure(spark, d):
-    grids = sources.document_grids(spark, d).select("id", S.exposure(F.col("luminance")).alias("e"))
+    grids = sources.document_grids(spark, d, _values()).select("id", S.exposure(F.col("luminance")).alias("e"))
     return grids.select("id", "e.classification", F.round("e.mean_luminance", 6).alias("mean_luminance"), F.round("e.dark_pixel_ratio", 6).alias("dark_pixel_ratio"), F.round("e.bright_pixel_ratio", 6).alias("bright_pixel_ratio"))
 
 
@@ -95,6 +99,25 @@ def rgb_normalise(spark, d):
     return g.select("id", F.posexplode(S.normalised_rgb(pixels)).alias("pos", "v")).select("id", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
+def _triples(of: Callable) -> Callable:
+    """``of(red, green, blue)`` of every three values in turn, with 0 past the end."""
+    def all_of(codes: F.Column) -> F.Column:
+        at = lambda k: F.coalesce(F.get(codes, k), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / 3).cast("int")), lambda k: of(at(k * 3), at(k * 3 + 1), at(k * 3 + 2)))
+
+    return lambda text: S.let(sources.text_codes(text), all_of)
+
+
+def whole_luminance(spark, d):
+    return sources.document_grids(spark, d, _triples(S.luminance)).select("id", "luminance")
+
+
+def whole_rgb_normalise(spark, d):
+    g = sources.document_grids(spark, d, _triples(lambda r, g, b: r * 65536 + g * 256 + b))
+    value = F.transform(S.normalised_rgb(F.col("luminance")), lambda v: F.round(v.cast("double"), 6))
+    return g.select("id", value.alias("value"))
+
+
 def hamming_pairs(spark, d):
     return mih.mih_pairs(_reps(spark, d), 4)
 
@@ -300,4 +323,5 @@ QUERIES = {
         toggled_selection, delete_message, display_names, selected_files, columnar_source, progress_ratio, plural_labels,
     )
 }
-QUERIES |= {f"whole_{name}": _whole(QUERIES[name]) for name in WHOLE}
+QUERIES |= {f"whole_{name}": _whole(QUERIES[name]) for name in (*WHOLE, *WHOLE_VALUES[:3])}
+QUERIES |= {f.__name__: f for f in (whole_luminance, whole_rgb_normalise)}
