@@ -69,3 +69,20 @@ def test_plan_reaches_recall():
         width, count = sut.table_plan(largest, 64)
         met = (1 - np.arccos(0.93) / np.pi) ** width
         assert 1 - (1 - met) ** count >= 0.98
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.9])
+def test_recall_where_vectors_share_a_direction(mean):
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    around = lambda n: unit(r.standard_normal((n, 63)))
+    height = np.sqrt(1 - mean**2)
+    x = around(20_000)
+    u, other = x[:1000], around(1000)
+    turn = np.arccos(1 - (1 - 0.93) / height**2)  # between the parts across the shared direction, for a cosine of 0.93
+    v = np.cos(turn) * u + np.sin(turn) * unit(other - (other * u).sum(1, keepdims=True) * u)
+    cone = lambda y: np.hstack([height * y, np.full((len(y), 1), mean)])
+    a, b = cone(u), cone(v)
+    assert np.allclose((a * b).sum(1), 0.93)
+    tables = sut.Tables(cone(x)[:8192], 64, 60_000)
+    assert (tables.keys(a) == tables.keys(b)).any(1).mean() >= 0.97

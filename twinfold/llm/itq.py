@@ -4,7 +4,8 @@ Rotations are learned on a bounded sample (``SAMPLE_VECTORS`` vectors with the s
 then alternating binary codes and the best rotation to them, from several starts.  The signs of the rotated vectors are
 cut into substrings, one Hamming table each; two vectors of a label meet in a table if a substring is equal.  Width and
 number of tables follow from the number of vectors of the largest label, so that a pair at the threshold is met with
-probability ``RECALL``.  Inside a bucket the original vectors are compared in double precision; a pair counts in the
+probability ``RECALL``.  Signs are taken without subtracting the mean: around it the angle of a close pair would be wider
+than the one that the number of tables follows from.  Inside a bucket the original vectors are compared in double precision; a pair counts in the
 first table where it meets.  A bucket returns link counts and a spanning forest, never all of its pairs, and buckets of
 more than ``BLOCK`` vectors are compared block by block in tasks of their own.
 """
@@ -33,8 +34,8 @@ TILE = 512
 BROADCAST_ROWS = 100_000
 
 
-def rotations(sample: np.ndarray, count: int, dim: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and ``count`` projections ``[dim, bits]`` learned from unit vectors; orthogonal ones where there are none."""
+def rotations(sample: np.ndarray, count: int, dim: int, rounds: int = ROUNDS) -> np.ndarray:
+    """``count`` projections ``[dim, bits]`` learned from unit vectors; orthogonal ones where there are none."""
     bits = min(dim, CODE_BITS)
     mean = sample.mean(0) if len(sample) else np.zeros(dim)
     centred = sample - mean
@@ -46,7 +47,7 @@ def rotations(sample: np.ndarray, count: int, dim: int, rounds: int = ROUNDS) ->
             u, _, vt = np.linalg.svd(np.where(low @ r >= 0, 1.0, -1.0).T @ low)
             r = (u @ vt).T
         out.append(axes @ r)
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
 def table_plan(largest: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -63,13 +64,13 @@ class Tables:
     def __init__(self, sample: np.ndarray, dim: int, largest: int):
         self.width, self.count = table_plan(largest, dim)
         each = max(1, min(dim, CODE_BITS) // self.width)
-        self.mean, self.projections = rotations(sample, -(-self.count // each), dim)
+        self.projections = rotations(sample, -(-self.count // each), dim)
         self.each = each
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         out, weights = [], 1 << np.arange(self.width, dtype=np.int64)
         for p in self.projections:
-            code = ((unit - self.mean) @ p) >= 0
+            code = unit @ p >= 0
             for k in range(self.each):
                 out.append(code[:, k * self.width : (k + 1) * self.width] @ weights)
         return np.stack(out[: self.count], 1)
