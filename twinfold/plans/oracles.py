@@ -190,3 +190,11 @@ ORACLES |= {f"whole_{name}": ORACLES[name].replace(GRIDS.strip(), _CODES).replac
     "whole_luminance": _q(_TRIPLES, "SELECT id, list_transform(range(0, len(t) // 3), lambda k: trunc(0.299::DOUBLE * t[k * 3 + 1] + 0.587::DOUBLE * t[k * 3 + 2] + 0.114::DOUBLE * t[k * 3 + 3])::INT) AS luminance FROM triples"),
     "whole_rgb_normalise": _q(_TRIPLES, "SELECT id, list_transform(t, lambda x: round((x / 255.0::DOUBLE)::FLOAT::DOUBLE, 6)) AS value FROM triples"),
 }
+
+#: Counterparts of the group queries whose searches have no cap.
+_ALL_PAIRS, _ALL_CANDS = _exact_pairs(8), _lsh("reps", False)
+ORACLES |= {
+    "modified_groups_uncapped": ORACLES["modified_groups"].replace(MIH.strip(), _ALL_PAIRS.strip()),
+    "related_groups_uncapped": ORACLES["related_groups"].replace(_lsh("vecs"), _lsh("vecs", False)),
+    "cluster_all_uncapped": ORACLES["cluster_all"].replace(MIH.strip(), _ALL_PAIRS.strip()).replace(_lsh("reps"), _ALL_CANDS),
+}

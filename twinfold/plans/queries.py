@@ -24,6 +24,7 @@ from twinfold.session import materialize
 #: Set while a ``whole_`` counterpart is planned: hashes are then of the whole text.
 _WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 OPTIONS = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40)
+UNCAPPED = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40, max_checks=None, candidate_limit=None)
 
 
 def _grid() -> Callable:
@@ -169,6 +170,18 @@ def modified_groups(spark, d):
     return exact.positioned(cluster.modified_members(_reps(spark, d), OPTIONS))
 
 
+def modified_groups_uncapped(spark, d):
+    return exact.positioned(cluster.modified_members(_reps(spark, d), UNCAPPED))
+
+
+def related_groups_uncapped(spark, d):
+    return cluster.cluster_duplicates(sources.embedding_fingerprints(spark, d), UNCAPPED)
+
+
+def cluster_all_uncapped(spark, d):
+    return cluster.cluster_duplicates(_docs(spark, d, True), UNCAPPED)
+
+
 def related_groups(spark, d):
     return cluster.cluster_duplicates(sources.embedding_fingerprints(spark, d), OPTIONS)
 
@@ -324,4 +337,4 @@ QUERIES = {
     )
 }
 QUERIES |= {f"whole_{name}": _whole(QUERIES[name]) for name in (*WHOLE, *WHOLE_VALUES[:3])}
-QUERIES |= {f.__name__: f for f in (whole_luminance, whole_rgb_normalise)}
+QUERIES |= {f.__name__: f for f in (whole_luminance, whole_rgb_normalise, modified_groups_uncapped, related_groups_uncapped, cluster_all_uncapped)}
