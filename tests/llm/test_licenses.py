@@ -68,3 +68,14 @@ def test_order_changes_no_result(order):
 
 def test_empty(spark):
     assert sut.license_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bodies_disclaimers_and_templates_of_the_caller(spark):
+    rows = ["x without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so y", "own terms " * 9 + "hold here"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in sut.license_digests(docs).collect()} == {0: "mit-body", 1: ""}
+    repeated = "own terms " * 9 + "hold here"  # 20 words of 4 tokens
+    found = {r["doc_id"]: [b["label"] for b in r["blocks"]] for r in sut.scan_licenses(docs, templates={"own": repeated}).collect()}
+    assert found == {0: [], 1: ["own"]}
+    far = sut.words_of("own " + "x " * 15 + "terms hold here")
+    assert [b[0] for b in sut.Matcher({}, {"own": repeated}).blocks(far)] == ["own"]

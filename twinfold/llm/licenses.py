@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join between text blocks and license templates.
 
-A block of a template with n distinct tokens is a stretch of at most ``ceil(SPAN * n)`` words; it matches if it holds at
+A block of a template with n distinct tokens is a stretch of at most ``ceil(SPAN * n)`` words, or ``ceil(SPAN * words)`` if
+the template's own words are more than ``SPAN * n``; it matches if it holds at
 least ``THRESHOLD`` of the tokens.  Template tokens are ordered by how many documents of the whole corpus hold them,
 rarest first.  A matching block must hold one of the first n - need + 1 tokens (prefix filter), its document must have
 ``need`` words (length filter), and going through the order, no more than n - need tokens may be missing before it is
@@ -26,16 +27,23 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening sentences and notices of public licenses, by the method's own labels.
+# Opening sentences, notices, bodies and disclaimers of public licenses, by the method's own labels.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-body": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "cc-by-4.0-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-disclaimer": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "mit-body": "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "mit-notice": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -57,10 +65,11 @@ class Matcher:
     def __init__(self, order: dict[bytes, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, span: float = SPAN):
         self.templates = []
         for label, text in sorted(templates.items()):
-            tokens = sorted(set(words_of(text)), key=lambda t: (order.get(t, 0), t))
+            words = words_of(text)
+            tokens = sorted(set(words), key=lambda t: (order.get(t, 0), t))
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             prefix = tokens[: len(tokens) - need + 1]
-            self.templates.append((label, tokens, set(tokens), need, prefix, math.ceil(span * len(tokens))))
+            self.templates.append((label, tokens, set(tokens), need, prefix, math.ceil(span * (len(words) if len(words) > span * len(tokens) else len(tokens)))))
         self.rare = frozenset(t for x in self.templates for t in x[4])
         self.phrases = [(b" " + p.encode() + b" ", label) for p, label in sorted(PHRASES.items())]
 
@@ -113,9 +122,9 @@ class Matcher:
         return [(label, a, b - a + 1, k / n) for a, b, k in out]
 
 
-def token_documents(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
+def token_documents(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> dict[bytes, int]:
     """In how many rows of ``docs`` each template token stands; the result is as large as the templates."""
-    vocabulary = frozenset(t for text in TEMPLATES.values() for t in words_of(text))
+    vocabulary = frozenset(t for text in templates.values() for t in words_of(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -128,15 +137,15 @@ def token_documents(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]
     return {bytes(r["token"]): r["n"] for r in found.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, places, blocks)`` of every row: where phrases stand and which blocks match which template.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """``(doc_id, n_words, places, blocks)`` of every row: where phrases stand and which blocks match which of ``templates``.
 
     Null texts count as empty.  Repeated rows and null ids give rows of their own; an empty table gives none.
     """
-    order = token_documents(docs, text_col)
+    order = token_documents(docs, text_col, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(order)
+        matcher = Matcher(order, templates)
         place = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64())]))
         block = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("containment", pa.float64())]))
         for batch in batches:
