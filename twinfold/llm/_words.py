@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
+
+#: Rows and bytes of one Arrow batch: what a Python worker holds at once, long texts included.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name)).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+    return spark
+
+
+def ship(spark: SparkSession, path: str) -> Broadcast:
+    """The bytes of a model file of the driver, for every executor (a public vocabulary of a few MB)."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 class WordMemo:
@@ -23,10 +41,8 @@ class WordMemo:
         self.fill, self.limit, self.young, self.old = fill, limit, {}, {}
 
     def clear(self) -> None:
-        """Give the memory back: Python workers outlive a task."""
+        """Forget everything: Python workers outlive a task."""
         self.young, self.old = {}, {}
-        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps what it has
-            ctypes.CDLL(None).malloc_trim(0)
 
     def look_up(self, texts: Sequence[Sequence]) -> dict:
         """The memo, holding all words of ``texts`` until the next call."""
