@@ -112,6 +112,18 @@ class IntTable:
         return out
 
 
+def joined_batches(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, up to about ``budget`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > budget:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, budget: int = 1_000_000) -> Iterator[tuple[int, int, list]]:
     """``(start, end, texts)`` of neighbouring rows of about ``budget`` bytes, turned into Python strings piece by piece."""
     texts = batch.column(column)

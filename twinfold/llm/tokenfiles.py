@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import codecs
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +30,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm._words import WordMemo, chunks
+from twinfold.llm._words import bounded_batches, chunks, joined_batches, ship, text_slices
 from twinfold.session import materialize, shared_path
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_TOKENS = 1 << 18
-_HARD = re.compile(r" (?=\s|$)")
+#: Blanks of which the library makes other units than one a blank: texts that hold such go chunk by chunk.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_HARD = f" ({_BLANK}|$)|{_BLANK}\n({_BLANK}|$)|\n{_BLANK}({_BLANK}|$)"
+#: ASCII punctuation of which a run at the end of a word is one unit; an apostrophe may open a unit with the letters after it.
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Letters below U+0250, which every version of Unicode agrees on.
+_LETTER = np.array([chr(c).isalpha() for c in range(0x250)])
+
+
+class IdStore:
+    """Ids of chunks, one after the other in one array, found by a chunk's number."""
+
+    def __init__(self, dtype: np.dtype):
+        self.of: dict[str | None, int] = {}
+        self.flat, self.start, self.size = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, keys: Sequence, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """New keys and their ids, in blocks ``(places of the keys, their ids in turn, how many each has)``."""
+        n = len(self.of)
+        self.start, self.size = (_grown(x, n + len(keys)) for x in (self.start, self.size))
+        for at, ids, sizes in blocks:
+            self.flat = _grown(self.flat, self.used + len(ids))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[n + at], self.size[n + at] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used += len(ids)
+        self.of.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def find(self, keys: Sequence) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        return np.fromiter(map(self.of.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these in turn, and how many each has."""
+        sizes = self.size[numbers]
+        done = np.cumsum(sizes)
+        total = int(done[-1]) if len(done) else 0
+        place = np.int32 if max(total, self.used) < 2**31 else np.int64  # half the memory traffic for all but huge texts
+        take = np.repeat((self.start[numbers] - (done - sizes)).astype(place), sizes)
+        take += np.arange(total, dtype=place)
+        return self.flat[take], sizes
+
+
+def _grown(x: np.ndarray, least: int) -> np.ndarray:
+    if least <= len(x):
+        return x
+    out = np.zeros(max(least, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 class ByteBpe:
     """Ids by the tokenizers library, asked once for each distinct chunk of text.
 
     The library's pre-tokenizer never joins what stands before a space to what follows it when a character other than
-    white space comes next, so the text is cut there and its chunks are encoded on their own.
+    white space comes next, so the text is cut there and its chunks are encoded on their own.  The library takes an added
+    token out of a text before anything else: texts are cut there first, and its id stands between the parts.
+
+    What is known is held in a young and an old store of at most ``memo_chunks // 2`` chunks and one slice of texts
+    each; a chunk of the old one that is met again moves to the young one, so frequent ones stay.  No result depends on it.
     """
 
-    def __init__(self, file: str, special_as_text: bool = True, memo_words: int = 1_200_000):
+    def __init__(self, model: bytes, memo_chunks: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = special_as_text
-        self.whole = not special_as_text
+        self.library = Tokenizer.from_str(model.decode())
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.library.get_added_tokens_decoder()
+        #: The added token, if there is one that any text around leaves as it is; else texts that hold one go to the library whole.
+        self.added = {t.content: np.array([i], self.dtype).tobytes() for i, t in added.items()}
+        self.plain_added = len(added) == 1 and not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         #: Bytes of text that each id stands for: byte-level vocabularies write one character a byte.
         self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
         #: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -62,86 +116,149 @@ class ByteBpe:
         self.alphabet = "".join(place.get(b, chr(b)) for b in range(256))
         #: The same model without a pre-tokenizer, for units that are cut and written in that alphabet already.
         self.units = Tokenizer(self.library.model)
-        self.mark = {p: np.array(self.library.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in ".,;:!?"}
-        self.feed = np.array(self.library.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
-        self.memo = WordMemo(self._fill, memo_words)
-
-    def _fill(self, keys: Sequence[str]) -> list[bytes]:
-        """Ids of each chunk.  Chunks that open with a space and more may follow each other in one text as well."""
-        out: list[bytes] = [b""] * len(keys)
-        # a line feed between other characters than white space is a unit of its own: chunks are cut there once more
-        lines = {k: cut for k, w in enumerate(keys) if "\n" in w and (cut := self._lines(w))}
-        if lines:
-            of = self.memo.young
-            new = list({p for cut in lines.values() for p in cut if p not in of})
-            of.update(zip(new, self._fill(new), strict=True))
-            for k, cut in lines.items():
-                out[k] = self.feed.join([of[p] for p in cut])
-        # a word of letters is one unit of the pre-tokenizer, a mark at its end another: the library's model takes them as
-        # they are; letters are those below U+0250, which every version of Unicode agrees on
-        letters, shown, tails, own, joined = [], [], [], [], []
-        for k, w in enumerate(keys):
-            if k in lines:
-                continue
-            word, tail = (w[:-1], self.mark[w[-1]]) if w[-1] in self.mark else (w, b"")
-            start = "\u0120"
-            if word[:1] == " ":
-                word, start = word[1:], ""
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                letters.append(k)
-                shown.append(start + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.alphabet)[0]))
-                tails.append(tail)
-            elif start:
-                joined.append(k)
-            else:
-                own.append(k)
+        #: Ids of the runs of punctuation met so far, one after the other.
+        self.tails = IdStore(self.dtype)
+        self.tails.add([""], [(np.array([0]), np.zeros(0, self.dtype), np.array([0]))])
+        self.feed = self._ids("\n")
+        self.limit = memo_chunks
+        self.young, self.old = self._store(), self._store()
+
+    def _store(self) -> IdStore:
+        """A store that holds the empty chunk alone."""
+        out = IdStore(self.dtype)
+        out.add([""], [(np.array([0]), np.zeros(0, self.dtype), np.array([0]))])
+        return out
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _known(self, keys: Sequence[str | None]) -> np.ndarray:
+        """The numbers of keys in the young store, after the missing ones were added."""
+        found = self.young.find(keys)
+        gone = np.flatnonzero(found < 0)
+        if not len(gone):
+            return found
+        missing = list(dict.fromkeys([keys[k] for k in gone.tolist()]))
+        before = self.old.find(missing)
+        there = np.flatnonzero(before >= 0)
+        if len(there):
+            self.young.add([missing[k] for k in there.tolist()], [(np.arange(len(there)), *self.old.gather(before[there]))])
+        new = [missing[k] for k in np.flatnonzero(before < 0).tolist()]
+        if new:
+            self.young.add(new, self._fill(new))
+        found[gone] = self.young.find([keys[k] for k in gone.tolist()])
+        return found
+
+    def _fill(self, keys: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of ids of new chunks.
+
+        A word of letters is one unit of the pre-tokenizer, a line feed before it and a run of punctuation at its end are
+        others: the library's model takes the letters as they are.  All other chunks go to the library whole.
+        """
+        whole = pa.array(keys, pa.string())
+        core = pc.ascii_rtrim(whole, _TAIL)
+        fed, spaced = pc.starts_with(core, "\n"), pc.starts_with(core, " ")
+        core = pc.if_else(pc.or_(fed, spaced), pc.utf8_slice_codeunits(core, 1), core)
+        front = pc.if_else(pc.or_(fed, spaced), "", "\u0120")
+        plain = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        other, shown = self._letters(core.take(pa.array(rest)), front.take(pa.array(rest)))
+        out = []
+        at = np.flatnonzero(plain)
+        words = pc.binary_join_element_wise(front.take(pa.array(at)), core.take(pa.array(at)), "").to_pylist()
+        for at_, words_ in ((at, words), (rest[other], shown)):
+            ends = self._tails(whole.take(pa.array(at_)))
+            feeds = fed.take(pa.array(at_)).to_numpy(zero_copy_only=False)
+            sizes = np.fromiter(map(len, words_), np.int64, len(words_))
+            for a, b in chunks(sizes.tolist(), 200_000):
+                (e,) = self.units.encode_batch_fast([words_[a:b]], is_pretokenized=True, add_special_tokens=False)
+                out.append((at_[a:b], *self._composed(feeds[a:b], *self._cut(e.ids, sizes[a:b]), ends[a:b])))
+        whole_ = np.ones(len(keys), bool)
+        whole_[at], whole_[rest[other]] = False, False
+        left = np.flatnonzero(whole_).tolist()
+        joined, own = [k for k in left if keys[k][0] not in " \n"], [k for k in left if keys[k][0] in " \n"]
         for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
-            for k, e in zip(own[a:b], self.library.encode_batch_fast([keys[k][1:] for k in own[a:b]], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, self.dtype).tobytes()
-        sizes = np.fromiter(map(len, shown), np.int64, len(shown))
-        for a, b in chunks(sizes.tolist(), 200_000):
-            (e,) = self.units.encode_batch_fast([shown[a:b]], is_pretokenized=True, add_special_tokens=False)
-            for k, ids, tail in zip(letters[a:b], self._cut(e.ids, sizes[a:b]), tails[a:b], strict=True):
-                out[k] = ids + tail
+            texts = [keys[k][1:] if keys[k][0] == " " else keys[k] for k in own[a:b]]
+            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            out.append((np.array(own[a:b]), np.fromiter(chain.from_iterable(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found))))
         sizes = np.array([len(keys[k].encode()) + 1 for k in joined], np.int64)
         for a, b in chunks(sizes.tolist(), 200_000):
             (e,) = self.library.encode_batch_fast([" " + " ".join([keys[k] for k in joined[a:b]])], add_special_tokens=False)
-            for k, ids in zip(joined[a:b], self._cut(e.ids, sizes[a:b]), strict=True):
-                out[k] = ids
+            out.append((np.array(joined[a:b]), *self._cut(e.ids, sizes[a:b])))
+        return out
+
+    def _letters(self, core: pa.Array, front: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """Which of these are words of letters below U+0250, and those written in the alphabet."""
+        text = "\n".join(core.to_pylist())
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(codes):
+            return np.zeros(0, np.int64), []
+        feed = codes == 10  # none is in a word of letters, so a word that holds one makes two that are no words here
+        if int(feed.sum()) != len(core) - 1:
+            flat = [w if "\n" not in w else "" for w in core.to_pylist()]
+            return self._letters(pa.array(flat, pa.string()), front)
+        ok = feed | ((codes < 0x250) & _LETTER[np.minimum(codes, 0x24F)])
+        starts = np.concatenate([[0], np.flatnonzero(feed) + 1])
+        empty = np.diff(np.append(starts, len(codes) + 1)) == 1
+        good = np.logical_and.reduceat(ok, np.minimum(starts, len(codes) - 1)) & ~empty
+        some = np.flatnonzero(good)
+        words = pc.binary_join_element_wise(front.take(pa.array(some)), "\n", "").to_pylist()  # a space in front, or nothing
+        chosen = "\n".join(core.take(pa.array(some)).to_pylist())
+        shown = codecs.charmap_decode(chosen.encode(), "strict", self.alphabet)[0].split(self.alphabet[10])
+        return some, [f[:-1] + w for f, w in zip(words, shown, strict=True)] if len(some) else []
+
+    def _tails(self, whole: pa.Array) -> np.ndarray:
+        """The numbers in ``tails`` of the runs of punctuation that chunks end in."""
+        more = pc.not_equal(pc.binary_length(pc.ascii_rtrim(whole, _TAIL)), pc.binary_length(whole)).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(whole), np.int64)
+        some = np.flatnonzero(more)
+        if len(some):
+            run = "[" + "".join("\\" + c for c in _TAIL) + "]"
+            coded = pc.replace_substring_regex(whole.take(pa.array(some)), f"(?s)^.*[^{run[1:]}", "").dictionary_encode()
+            tails = coded.dictionary.to_pylist()
+            new = [t for t in tails if t not in self.tails.of]
+            if new:
+                found = [self._ids(t) for t in new]
+                self.tails.add(new, [(np.arange(len(new)), np.concatenate(found), np.array([len(x) for x in found]))])
+            out[some] = self.tails.find(tails)[coded.indices.to_numpy()]
         return out
 
-    @staticmethod
-    def _lines(key: str) -> list[str] | None:
-        """The keys of the lines of a chunk, if no white space but single line feeds stands at their ends."""
-        head, rest = (" ", key[1:]) if key[0] == " " else ("", key)
-        parts = rest.split("\n")
-        if len(parts) < 2 or not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            return None
-        return [head + parts[0], *[" " + p for p in parts[1:]]]
-
-    def _cut(self, ids: Sequence[int], sizes: np.ndarray) -> list[bytes]:
-        """The ids of neighbouring chunks of so many bytes each."""
+    def _composed(self, feeds: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words' ids with a line feed before and a run of punctuation behind where they have them."""
+        if not feeds.any() and not ends.any():
+            return ids, sizes
+        both = IdStore(self.dtype)
+        base = len(self.tails.of)
+        both.flat = np.concatenate([self.tails.flat[: self.tails.used], self.feed, ids])
+        first = self.tails.used + len(self.feed)
+        both.start = np.concatenate([self.tails.start[:base], [self.tails.used], first + np.cumsum(sizes) - sizes])
+        both.size, both.used = np.concatenate([self.tails.size[:base], [len(self.feed)], sizes]), len(both.flat)
+        turns = np.stack([np.where(feeds, base, 0), base + 1 + np.arange(len(sizes)), ends], 1)
+        out, counts = both.gather(turns.ravel())
+        return out, counts.reshape(-1, 3).sum(1)
+
+    def _cut(self, ids: Sequence[int], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of neighbouring chunks of so many bytes each, and how many each chunk has."""
         flat = np.array(ids, np.int64)
         at, ends = np.cumsum(self.bytes_of[flat]), np.cumsum(sizes)
         stops = np.searchsorted(at, ends)
         if not np.array_equal(at[stops], ends):
             raise ValueError("a piece crosses the end of a chunk")
-        data, stops = flat.astype(self.dtype).tobytes(), ((stops + 1) * self.dtype.itemsize).tolist()
-        return [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        return flat.astype(self.dtype), np.diff(stops + 1, prepend=0)
 
     def split(self, text: str) -> list[str]:
-        """The chunks of a text: a key without a space in front stands for a space and itself, any other for what follows its first space."""
-        if self.whole or not text:
-            return [" " + text] if text else []
+        """The chunks of a text with odd blanks: a key that opens with a space stands for what follows that, one that opens with
+        a line feed for itself, and any other for a space and itself."""
+        if not text:
+            return []
         parts = text.split(" ")
-        if _HARD.search(text):
-            joined = [parts[0]]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    joined.append(p)
-                else:
-                    joined[-1] += " " + p
-            parts = joined
+        joined: list[list[str]] = [[parts[0]]]
+        for p in parts[1:]:
+            if p and not p[0].isspace():  # so no chunk but the first opens with a line feed
+                joined.append([p])
+            else:
+                joined[-1].append(p)
+        parts = [" ".join(x) for x in joined]
         if parts[0]:
             parts[0] = " " + parts[0]
             return parts
@@ -156,32 +273,44 @@ class ByteBpe:
 
     def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Texts without odd blanks are cut and made distinct by Arrow; Python sees each distinct chunk once."""
-        odd = {k for k, t in enumerate(texts) if not t or self.whole or _HARD.search(t)}
-        plain = [t for k, t in enumerate(texts) if k not in odd]
-        hard = {k: self.split(texts[k] or "") for k in odd}
-        parts = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        cut = {k: self._around_added(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        every = pa.array(texts, pa.large_string())
+        hard = pc.fill_null(pc.or_(pc.match_substring_regex(every, _HARD), pc.equal(every, "")), True).to_pylist()
+        odd = [k for k, h in enumerate(hard) if h and k not in cut]
+        plain = [k for k, h in enumerate(hard) if not h and k not in cut]
+        if len(self.young.of) > self.limit // 2:
+            self.young, self.old = self._store(), self.young
+        # a line feed is a unit of its own here and stands at the start of a chunk
+        parts = pc.split_pattern(pc.replace_substring(every.take(pa.array(plain, pa.int64())), "\n", " \n"), " ")
         ends = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
         words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        starts = ends[:-1]
-        heads = [words[i] for i in index[starts].tolist()]
-        follow = [w or None for w in words]  # an empty chunk is only ever the head of a text that opens with a space
-        of = self.memo.look_up([[w for w in follow if w], [" " + h for h in heads if h], *hard.values()])
-        ids = [of[w] if w else b"" for w in follow] + [of[" " + h] if h else b"" for h in heads]
-        index[starts] = len(words) + np.arange(len(heads))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        flat, at = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
-        lens = sizes[index]
-        done = np.cumsum(lens)
-        total = int(done[-1]) if len(done) else 0
-        place = np.int32 if total < 2**31 else np.int64  # half the memory traffic for all but huge texts
-        take = np.repeat((at[index] - (done - lens)).astype(place), lens)
-        take += np.arange(total, dtype=place)
-        gathered = flat[take]
-        stops = np.concatenate([[0], done])[ends] * self.dtype.itemsize
-        data = gathered.tobytes()
-        found = iter([data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)])
-        return [b"".join([of[w] for w in hard[k]]) if k in odd else next(found) for k in range(len(texts))]
+        # the first chunk of a text has no space before it; it is empty if the text opens with a space or a line feed
+        heads = [" " + w if w else "" for w in (words[i] for i in index[ends[:-1]].tolist())]
+        hard = [self.split(texts[k] or "") for k in odd]
+        others = list(dict.fromkeys(chain(heads, *hard)))
+        place = {w: len(words) + k for k, w in enumerate(others)}
+        index[ends[:-1]] = [place[h] for h in heads]
+        every = [*words, *others]
+        used = np.ones(len(every), bool)
+        used[: len(words)] = False
+        used[index] = True  # chunks that only ever were the first of a text are of no use as they stand
+        number = np.zeros(len(every), np.int64)
+        number[used] = self._known(every if used.all() else [w for w, u in zip(every, used.tolist(), strict=True) if u])
+        index = np.concatenate([index, np.fromiter((place[w] for ws in hard for w in ws), np.int64)])
+        ids, sizes = self.young.gather(number[index])
+        stops = np.concatenate([ends, ends[-1] + np.cumsum([len(ws) for ws in hard], dtype=np.int64)])
+        stops = (np.concatenate([[0], np.cumsum(sizes)])[stops] * self.dtype.itemsize).tolist()
+        data = ids.tobytes()
+        done = {k: data[i:j] for k, i, j in zip([*plain, *odd], stops[:-1], stops[1:], strict=True)}
+        return [cut[k] if k in cut else done[k] for k in range(len(texts))]
+
+    def _around_added(self, text: str) -> bytes:
+        """The ids of a text that holds an added token."""
+        if not self.plain_added:
+            return self._ids(text).tobytes()
+        ((token, one),) = self.added.items()
+        return one.join(self.encode(text.split(token)))
 
 
 class TokenFileWriter:
@@ -289,52 +418,93 @@ class TokenFileReader:
 
 def open_file(uri: str, mode: str = "r"):
     fs, path = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(path) if mode == "r" else fs.open_output_stream(path)
+    return fs.open_input_file(path) if mode == "r" else fs.open_output_stream(path, compression=None)
 
 
-#: One encoder a Python worker; its bounded memo (about 250 MB when full) stays from task to task.
-_BPE: dict[tuple, ByteBpe] = {}
+#: One encoder a Python worker; what it knows (about 60 MB when full) stays from task to task.
+_BPE: dict[bytes, ByteBpe] = {}
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
+def byte_bpe(model: bytes) -> ByteBpe:
+    if model not in _BPE:
+        _BPE.clear()
+        _BPE[model] = ByteBpe(model)
+    return _BPE[model]
+
+
+def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids)`` of every row: the ids of its whole text and the end id as little-endian bytes, two or four each.
+
+    Null and empty texts have the end id alone; long texts are encoded a few at a time; other columns are not read.
+    """
+    model = ship(bounded_batches(docs.sparkSession), tokenizer_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(model.value)
+        tail = np.array([end_id], bpe.dtype).tobytes()
+        for batch in joined_batches(batches, 8_000_000):  # a chunk is looked up once for each of these
+            for a, b, texts in text_slices(batch, 1, 8_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([p + tail for p in bpe.encode(texts)], pa.binary())], ["id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids binary")
+
+
+def by_ranges(docs: DataFrame, coded: DataFrame, parts: int, id_col: str = "doc_id") -> DataFrame:
+    """``coded(id, ids)`` in ``parts`` partitions, ascending by id (nulls first) over them and within them; rows of one id
+    by a hash of their ids, then by the ids.
+
+    The cuts are quantiles of the ids of ``docs``, from a scan of that column alone, so no text is read or encoded twice.
+    An id that several quantiles fall on is spread over their partitions by that hash.
+    """
+    share = [k / parts for k in range(1, parts)]
+    least = -(2**63)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(least))
+    cuts = (docs.select(F.percentile_approx(key, share, 20 * parts)).first()[0] if parts > 1 else None) or []
+    order = F.coalesce("id", F.lit(least))
+    cut = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
+    # how many cuts lie below the id, and how many are the id itself
+    below = F.size(F.filter(cut, lambda c: c < order))
+    at = F.size(F.filter(cut, lambda c: c == order))
+    place = (F.col("digest").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)  # 0 to 1
+    part = below + F.when(at > 1, F.least(F.floor(place * at), at - 1)).otherwise(0)
+    dealt = coded.withColumn("digest", F.xxhash64("ids")).withColumn("part", part.cast("int")).repartitionById(parts, "part")
+    return dealt.sortWithinPartitions(F.asc_nulls_first("id"), "digest", "ids").select("id", "ids")
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents, ascending by id over files and within them; returns the manifest ``(part, file, docs, tokens)``.
 
-    Null texts count as empty; null ids come first, rows with the same id follow each other ordered by text.  A task
-    writes under a name of its attempt and renames it when it is whole, so a task that runs again, here or on another
-    executor, leaves one file with the same content.
+    Null texts count as empty; null ids come first, rows with the same id follow each other ordered by a hash of their ids.
+    A task writes a file whose name holds its attempt and reports that name, so a task that runs again, here or on
+    another executor, never meets a file that is there, and the manifest names one whole file for each part.
     """
+    model = ship(docs.sparkSession, tokenizer_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_file, special_as_text)
-        if key not in _BPE:
-            _BPE[key] = ByteBpe(*key)
-        bpe, task = _BPE[key], TaskContext.get()
+        task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
-        tail = np.array([end_id], bpe.dtype).tobytes()
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok.zst"
         writer = sink = None
         docs_, tokens = 0, 0
-        final = f"{base}/part-{task.partitionId():06d}.tok.zst"
-        temporary = f"{final}.{task.taskAttemptId()}"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, payload in zip(ids, bpe.encode(texts), strict=True):
+            for i, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
+                    dtype = byte_bpe(model.value).dtype
                     fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(temporary)
-                    writer = TokenFileWriter(sink, bpe.dtype)
-                writer.write(i, payload + tail)
+                    sink = fs.open_output_stream(f"{base}/{name}", compression=None)  # frames are compressed already
+                    writer = TokenFileWriter(sink, dtype)
+                data = payload.as_py()
+                writer.write(i, data)
                 docs_ += 1
-                tokens += len(payload) // bpe.dtype.itemsize + 1
+                tokens += len(data) // dtype.itemsize
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(temporary, final)
-            name = f"{folder}/{os.path.basename(final)}"
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "file": [name], "docs": [docs_], "tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "file": [f"{folder}/{name}"], "docs": [docs_], "tokens": [tokens]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
-    return materialize(ordered.mapInArrow(run, "part long, file string, docs long, tokens long"), "manifest")
+    coded = encode_documents(docs, tokenizer_file, end_id, id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(by_ranges(docs, coded, parts, id_col).mapInArrow(run, "part long, file string, docs long, tokens long"), "manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
