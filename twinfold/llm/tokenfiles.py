@@ -97,7 +97,7 @@ class ByteBpe:
     each; a chunk of the old one that is met again moves to the young one, so frequent ones stay.  No result depends on it.
     """
 
-    def __init__(self, model: bytes, memo_chunks: int = 250_000):
+    def __init__(self, model: bytes, memo_chunks: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -421,7 +421,7 @@ def open_file(uri: str, mode: str = "r"):
     return fs.open_input_file(path) if mode == "r" else fs.open_output_stream(path, compression=None)
 
 
-#: One encoder a Python worker; what it knows (about 60 MB when full) stays from task to task.
+#: One encoder a Python worker; what it knows (about 150 MB when full) stays from task to task.
 _BPE: dict[bytes, ByteBpe] = {}
 
 
