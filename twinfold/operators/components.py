@@ -21,7 +21,7 @@ from twinfold.session import materialize
 SINGLE_TASK_EDGES = 20_000
 
 
-def _roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smallest_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and the smallest vertex that each reaches, for one batch of edges."""
     nodes, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
     a, b = flat[: len(src)], flat[len(src) :]
@@ -40,13 +40,13 @@ def _roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges that keep each batch of edges as connected as it was, one a vertex; roots have a loop."""
     for pdf in batches:
-        nodes, root = _roots(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+        nodes, root = smallest_reached(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
         yield pd.DataFrame({"src": nodes, "dst": root})
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pdf = pd.concat([pd.DataFrame({"src": [], "dst": []}, dtype="int64"), *batches])
-    nodes, root = _roots(pdf["src"].to_numpy("int64"), pdf["dst"].to_numpy("int64"))
+    nodes, root = smallest_reached(pdf["src"].to_numpy("int64"), pdf["dst"].to_numpy("int64"))
     yield pd.DataFrame({"node": nodes, "hook": root})
 
 

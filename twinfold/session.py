@@ -44,9 +44,34 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths handed out since the last ``clean_up``.
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Spark's file system of a path, and the path as it takes it: the driver's own file calls need not reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate data that nothing reads any more."""
+    for path in paths:
+        fs, where = file_system(spark, path)
+        fs.delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate data of this process; results that were not written elsewhere are gone with it."""
+    while _WRITTEN:
+        discard(spark, _WRITTEN.pop())
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
