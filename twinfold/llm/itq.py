@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.operators.components import _roots, connected_components
+from twinfold.operators.components import connected_components, smallest_reached
 from twinfold.session import fits_broadcast, materialize
 
 THRESHOLD = 0.93
@@ -111,7 +111,7 @@ def _links(x: np.ndarray, kx: np.ndarray, wx: np.ndarray, y: np.ndarray, ky: np.
             a, b = a[first], b[first]
             np.add.at(cx, a, wy[b])
             np.add.at(cx if same else cy, b, wx[a])
-            node, root = _roots(a, b + off)
+            node, root = smallest_reached(a, b + off)
             src.append(node[node != root])
             dst.append(root[node != root])
     return cx, cy, np.concatenate(src), np.concatenate(dst)
