@@ -93,6 +93,26 @@ def test_mixed_documents(spark):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in words.items() if v}
 
 
+def test_mixed_documents_with_equal_rows_and_clashing_names(spark):
+    """Copies that are equal row by row, long texts, null sources and ids, and columns named like the operator's own."""
+    rows = [(None, None, "same words in this text", "a"), *[(4, "s", "same words in this text", "a")] * 9, (4, "s", "same words in this text", "b"), (5, "s", None, "a"), (6, "t", "", "a"), (7, "t", "long " * 30_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _k1 string").withColumn("quota", F.lit(1))
+    size = lambda t: len((t or "").split())
+    got, again = (sorted(map(str, sut.mix_documents(df.repartition(n)).collect())) for n in (2, 5))
+    assert got == again
+    out = sut.mix_documents(df)
+    assert out.columns == df.columns
+    total = Counter()
+    for r in out.collect():
+        assert r.quota == 1 and r._k1 in "ab"
+        total[r.source] += size(r.text)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[1]] += size(r[2])
+    for s, t in brute_targets(sizes).items():
+        assert abs(total[s] - t) <= 40
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert sut.mix_sizes(df).count() == 0 and sut.mix_documents(df).count() == 0

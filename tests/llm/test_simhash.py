@@ -62,3 +62,33 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert kept.columns == ["doc_id", "text", "lang", "component_id"]
     firsts = {c for _, _, c in brute(rows)}
     assert {r.doc_id for r in kept.collect()} == firsts
+
+
+def test_deduplicate_judges_null_and_repeated_ids_and_equal_rows(spark):
+    rows = [(None, "one two three", "en", "a"), (None, "one two three", "en", "a"), (5, "one two three", "de", "a"), (5, "one two three", "en", "a"), (5, "one two three", "en", "a")]
+    rows += [(None, "something else", None, "a"), (None, "something else", None, None), (7, None, None, None), (None, "", None, None), (5, "another text", "en", "x")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert len(kept) == 4  # one of each of four groups
+    by = {r.text: r for r in kept}
+    assert by["one two three"].doc_id == 5 and by["another text"].doc_id == 5 and by["something else"].doc_id is None
+    assert by[None].doc_id == 7
+
+
+def test_bands_compare_every_pair_within_the_radius():
+    import random
+
+    r = random.Random(5)
+    for most in (3, 10, 1000):
+        counts = {p: r.choice([0, 0, 1, 2, 5, 40]) for p in range(65)}
+        b = simhash.Bands(counts, most, 4)
+        groups = {p: range(b.first[p], b.first[p] + b.parts[p]) for p, n in counts.items() if n}
+        held = {}
+        for p, gs in groups.items():
+            for g in gs:
+                held.setdefault(g, 0)
+                held[g] += counts[p] / len(gs)
+        assert max(held.values()) <= most
+        for p, gs in groups.items():
+            for q, hs in groups.items():
+                if abs(p - q) <= 4:
+                    assert all(b.low[p] <= h <= b.high[p] for h in hs)

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once, long texts included.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -30,6 +31,17 @@ def ship(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def row_keys(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two hashes of a row's values and of which of them are null: rows with the same keys are taken as equal."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return F.xxhash64(nulls, *columns), F.xxhash64(F.lit("row"), nulls, *columns)
+
+
+def one_of_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key; copies go before the shuffle, so a row that is repeated without end moves once a partition."""
+    return rows.dropDuplicates(list(keys))
+
+
 class WordMemo:
     """Maps words to what ``fill`` makes of them.
 

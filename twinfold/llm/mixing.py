@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.llm._words import one_of_each, row_keys
 from twinfold.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,7 +85,7 @@ def apportion(parties: DataFrame, parent: list[str], child: str, weight: str, se
 def plan_mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """For every row of ``docs(doc_id, source, size, *)``: where it lies in its shard and how often each block is taken.
 
-    Adds ``source_size, target, start`` (words of the shard before the row), ``shard_size, blocks, quota, offset``; word w of a shard is in block ``((w + 1) * blocks - 1) div shard_size``.
+    Rows of a shard with one hash, id and size follow each other by ``_k1`` if there is one, so reruns agree.  Adds ``source_size, target, start`` (words of the shard before the row), ``shard_size, blocks, quota, offset``; word w of a shard is in block ``((w + 1) * blocks - 1) div shard_size``.
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes).withColumn("shards", F.ceil(F.greatest("source_size", F.lit(1)) / shard_words).cast("long"))
@@ -98,7 +99,8 @@ def plan_mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, sh
     order = seeded(seed, F.col("doc_id"), F.col("size"))
     placed = placed.withColumn("_order", order).withColumn("_shard", F.floor(F.col("_order") * F.col("shards") / F.lit(2**32)).cast("long"))
     shard = Window.partitionBy("source", "_shard")
-    placed = placed.withColumn("_upto", F.sum("size").over(shard.orderBy("_order", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)))
+    within = ["_order", F.asc_nulls_first("doc_id"), "size", *[c for c in ("_k1", "_k2") if c in docs.columns]]
+    placed = placed.withColumn("_upto", F.sum("size").over(shard.orderBy(*within).rowsBetween(Window.unboundedPreceding, 0)))
     placed = materialize(placed.withColumn("start", F.col("_upto") - F.col("size")), "placed")
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("shard_size")).withColumn("_group", F.floor(F.col("_shard") / GROUP_SHARDS).cast("long"))
     groups = shards.groupBy("source", "_group").agg(F.sum("shard_size").alias("group_size"))
@@ -152,23 +154,28 @@ def mix_sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a whole copy for each full pass, and the words of the blocks
-    taken once more (with the blanks that follow them) as one more row.  ``n_chars`` is set anew where there is one."""
-    sized = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    narrow = materialize(sized.select("doc_id", "source", "size", F.xxhash64("_in_text").alias("_same")), "sized")
-    planned = plan_mix(narrow, seed).where("size > 0 AND quota > 0")
-    # rows that repeat id, source and text lie side by side in a shard: each is matched with its own place
-    turn = lambda: F.row_number().over(Window.partitionBy("doc_id", "source", "_same").orderBy("start"))
-    planned = planned.withColumn("_turn", turn()).select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "_same", "_turn")], "start", "size", "shard_size", "blocks", "quota", "offset")
-    texts = sized.drop("size").withColumn("_same", F.xxhash64("_in_text")).withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "source", "_same").orderBy("_same")))
-    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ("doc_id", "source", "_same", "_turn")]
-    rows = texts.join(planned, on)
-    words = F.regexp_extract_all("_in_text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    taken once more (with the blanks that follow them) as one more row.  ``n_chars`` is set anew where there is one.
+
+    Null texts and texts without a word have nothing to take and vanish; rows with null ids or sources and rows that
+    repeat are dealt like any others, equal rows are fetched once; texts of any length are cut at their words; columns
+    may have any name; an empty table gives no rows.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no name of docs can clash with the new columns
+    own = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    k1, k2 = row_keys(plain.columns)
+    narrow = plain.select(own["doc_id"].cast("long").alias("doc_id"), own["source"].cast("string").alias("source"), word_count(own["text"]).alias("size"), k1.alias("_k1"), k2.alias("_k2"))
+    planned = with_taken(plan_mix(materialize(narrow, "sized"), seed)).where("taken > 0")
+    planned = planned.select("_k1", "_k2", "start", "size", "shard_size", "blocks", "quota", "offset")
+    # equal rows lie side by side in a shard and take what any of them may: their text is joined to each of their places
+    texts = one_of_each(plain.withColumn("_k1", k1).withColumn("_k2", k2), ("_k1", "_k2"))
+    rows = planned.join(texts, ["_k1", "_k2"])
+    words = F.regexp_extract_all(own["text"], F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     full = F.floor(F.col("quota") / F.col("blocks")).cast("int")
     once = F.array_join(F.filter(words, lambda w, i: _times(_block_of(F.col("start") + i)) > full), "")
-    copies = F.concat(F.array_repeat(F.col("_in_text"), full), F.when(F.col("quota") % F.col("blocks") > 0, F.array(once)).otherwise(F.array().cast("array<string>")))
+    copies = F.concat(F.array_repeat(own["text"], full), F.when(F.col("quota") % F.col("blocks") > 0, F.array(once)).otherwise(F.array().cast("array<string>")))
     out = rows.withColumn("_text", F.explode(copies)).where("_text <> ''")
     value = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return out.select(*[value.get(c, F.col(f"_in_{c}")).cast(t).alias(c) for c, t in docs.dtypes])
+    return out.select(*[value.get(c, own[c]).cast(t).alias(f"c{k}") for k, (c, t) in enumerate(docs.dtypes)]).toDF(*docs.columns)
 
 
 def _apportion_sql(name: str, rows: str, parent: str, child: str, weight: str, seats: str) -> str:

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm._words import WordMemo, chunks, text_slices
+from twinfold.llm._words import WordMemo, bounded_batches, chunks, ship, text_slices
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -30,8 +30,8 @@ _NONE = np.int32(2**31 - 1)
 class PieceCodec:
     """Encodes and decodes as the sentencepiece library does with a BPE model of plain pieces and byte fallback."""
 
-    def __init__(self, model_file: str, memo_words: int = 200_000):
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    def __init__(self, model: bytes, memo_words: int = 150_000):
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
         self.eos = sp.eos_id()
@@ -68,7 +68,6 @@ class PieceCodec:
                 a, b = symbols.get(p[:k]), symbols.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.span + b] = (rank_of[sp.get_score(i)], i)
-        self.pairs = pairs
         self._build(pairs)
         self.bytes_of = [b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.is_byte = byte
@@ -112,6 +111,16 @@ class PieceCodec:
             open_, keys, at = open_[go], keys[go], (at[go] + 1) & (len(self.key) - 1)
         return rank, made
 
+    def _pair(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and piece of one pair."""
+        key = left * self.span + right
+        at = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (there := int(self.key[at])) != key:
+            if there == -1:
+                return None
+            at = (at + 1) & (len(self.key) - 1)
+        return int(self.rank[at]), int(self.made[at])
+
     def encode_words(self, words: Sequence[str]) -> list[bytes]:
         """For each word (without the U+2581 that stands before it) its ids as little-endian 32-bit integers."""
         n = len(words)
@@ -203,7 +212,7 @@ class PieceCodec:
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if j < n and (found := self.pairs.get(sym[i] * self.span + sym[j])):
+            if j < n and (found := self._pair(sym[i], sym[j])):
                 heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
 
         for i in range(n - 1):
@@ -276,27 +285,30 @@ class PieceCodec:
         return "".join(out)
 
 
-_CODECS: dict[str, PieceCodec] = {}
+_CODECS: dict[bytes, PieceCodec] = {}
 
 
-def codec(model_file: str) -> PieceCodec:
-    """One codec a Python worker and model."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = PieceCodec(model_file)
-    return _CODECS[model_file]
+def codec(model: bytes) -> PieceCodec:
+    """One codec a Python worker."""
+    if model not in _CODECS:
+        _CODECS.clear()
+        _CODECS[model] = PieceCodec(model)
+    return _CODECS[model]
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True) -> DataFrame:
     """``(doc_id, ids array<int>)`` of every row; a null text counts as empty, other columns are not read."""
+    model = ship(bounded_batches(docs.sparkSession), model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model.value)
         for batch in batches:
             for a, b, texts in text_slices(batch, 1):
-                ids = codec(model_file).encode(texts, eos)
+                ids = own.encode(texts, eos)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
-        codec(model_file).memo.clear()
+        own.memo.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -304,13 +316,16 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: every whole text encoded, and its ids decoded again.
 
-    Null and empty texts have the end id alone and decode to the empty text.  Repeated rows, null ids and an empty
-    table pass through; other columns are not read.
+    Null and empty texts have the end id alone and decode to the empty text.  Texts of any length are encoded whole, about
+    a million characters of a batch at a time.  Repeated rows, null ids and an empty table pass through; other columns
+    are not read.
     """
     import hashlib
 
+    model = ship(bounded_batches(docs.sparkSession), model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
+        own = codec(model.value)
         for batch in batches:
             counts, shas, back = [], [], []
             for _, _, texts in text_slices(batch, 1):
