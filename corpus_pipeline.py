@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages over ``documents``; each stage reads what the one before it wrote.
 
 language ID -> line dedup -> SimHash near-dedup -> mixing sources to target weights -> SentencePiece round trip
+
+Every stage takes null in any column, empty and very long texts, repeated rows, an empty table and columns of any name
+beside those of documents, which stay to the last stage but one.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ PIECES = "piece_bpe_32k.model"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or too uncertain, go."""
+    """Documents whose text has a language; null texts, those without a letter, or too uncertain, go.  Repeats are judged alike."""
     return langid.keep_identified(docs, public_tokenizers.path(PIECES))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many documents share and this one need not hold; n_chars is set anew."""
+    """Every document, without the lines that many documents share and this one need not hold; n_chars is set anew.
+
+    A text that loses no line stays as it is, null included; null ids are one document; each repeated row keeps its result.
+    """
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     out = linededup.dedup_lines(plain, own["doc_id"], own["text"])
@@ -33,17 +39,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the smallest id."""
+    """One document of each group of near copies: the smallest id, nulls last; null and empty texts are one group."""
     return simhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents repeated, cut or left out so that sources come near their targets."""
+    """The mix: documents repeated, cut or left out so that sources, null among them, come near their targets; texts
+    without a word vanish."""
     return mixing.mix_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every document of the mix; null texts count as empty."""
     return sentencepieces.round_trip_digests(docs, public_tokenizers.path(PIECES))
 
 
