@@ -20,10 +20,12 @@ def brute_labels(words):
     labels, best = set(), 0.0
     for label, text in sut.TEMPLATES.items():
         of = set(brute_words(text))
-        width = math.ceil(1.5 * len(of))
+        own = brute_words(text)
+        width = len(own) if len(of) < 15 else math.ceil(1.5 * (len(own) if len(own) > 1.5 * len(of) else len(of)))
+        need = len(of) if len(of) < 15 else math.ceil(0.8 * len(of) - 1e-9)
         for i in range(max(1, len(words) - width + 1)):
             k = len(of & set(words[i : i + width]))
-            if k >= math.ceil(0.8 * len(of) - 1e-9):
+            if k >= need:
                 labels.add(label)
                 best = max(best, k / len(of))
     return labels, best
@@ -79,3 +81,31 @@ def test_bodies_disclaimers_and_templates_of_the_caller(spark):
     assert found == {0: [], 1: ["own"]}
     far = sut.words_of("own " + "x " * 15 + "terms hold here")
     assert [b[0] for b in sut.Matcher({}, {"own": repeated}).blocks(far)] == ["own"]
+
+
+@pytest.mark.parametrize("text", ["Licensed under CC BY 4.0", "Licensed under CC BY-NC-SA 4.0", "Code is released under the BSD license.", "Code is released under the Apache license.", "This work is under the Mozilla terms", "the software is provided with a notice", "This work is licensed under the GNU General Public License, version 2", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"])
+def test_short_notices_of_other_licenses_get_no_label(text):
+    assert sut.Matcher({}).blocks(sut.words_of(text)) == []
+
+
+@pytest.mark.parametrize("text, label", [("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"), ("(Released under the MIT License)", "mit-notice"), ("licensed under the apache license version 2.0", "apache-2.0")])
+def test_short_notices_are_found(text, label):
+    assert {b[0] for b in sut.Matcher({}).blocks(sut.words_of("a word " + text + " more"))} == {label}
+
+
+def test_many_places_take_linear_time():
+    import time
+
+    words = sut.words_of("mit license " * 200_000)
+    began = time.perf_counter()
+    places = sut.Matcher({}).places(words)
+    assert len(places) == 200_000 and places[-1] == ("mit", 399_998) and time.perf_counter() - began < 5
+
+
+def test_edited_license_texts_are_found():
+    r = random.Random(8)
+    for label in ("mit-license", "isc-license", "bsd-license"):
+        words = sut.TEMPLATES[label].split()
+        edited = [w for w in words if r.random() > 0.03]
+        found = {b[0]: b for b in sut.Matcher({}).blocks(sut.words_of("one two " * 50 + " ".join(edited) + " three" * 50))}
+        assert label in found and found[label][3] >= 0.8 and found[label][1] >= 90
