@@ -172,9 +172,46 @@ def test_regroup_report(spark):
     assert report.selected_bytes(df, tips).first().bytes == 7
     assert {r.id for r in report.toggle(tips, "b").collect()} == {"d", "e"} and report.toggle(tips, "a").count() == 4
     assert [tuple(r) for r in report.numbered_groups(g).orderBy("number").collect()] == [("EXACT", 0, 1), ("EXACT", 2, 2)]
-    assert sorted(r.flat for r in report.flat_groups(g).collect()) == [["0", "2", "a", "b"], ["0", "3", "c", "d", "e"]]
+    assert sorted(r.flat for r in report.flat_groups(g, df).collect()) == [[0, 2, 0, 1], [0, 3, 2, 3, 4]]
     message = lambda *ok: regroup.delete_message(spark.createDataFrame([(str(i), x) for i, x in enumerate(ok)], "id string, ok boolean")).first().message
-    assert message(True, True).startswith("Deleted 2") and "of 2" in message(True, False) and message(False).startswith("No photos")
+    assert message(True, True) == "Deleted 2 photos." and message(True, False) == "Deleted 1; 1 could not be deleted." and message(False).startswith("No photos were deleted.")
     exposures = spark.createDataFrame([("NORMAL",), ("OVEREXPOSED",)], "classification string")
     assert tuple(report.summary_counts(df, g, exposures).first()) == (5, 2, 0, 1)
     assert [r.chunk for r in report.chunked(g.where("group_id = 2")).orderBy("member_pos").collect()] == [0, 0, 1]
+
+
+def test_groups_are_decoded_and_checked(spark, tmp_path):
+    df = rows(spark, [("a", "h", None, None), ("b", "h", None, None), ("c", "i", None, None), ("d", "i", None, None), ("e", "i", None, None)])
+    g = cluster.cluster_duplicates(df)
+    key = lambda x: sorted(tuple(r) for r in x.select("kind", "group_id", "member_pos", "id").collect())
+    assert key(report.decode_groups(report.flat_groups(g, df), df)) == key(g)
+    report.write_groups(g, f"{tmp_path}/groups")
+    assert key(report.read_groups(spark, f"{tmp_path}/groups")) == key(g)
+    for flat, message in (([0], "header"), (None, "header"), ([0, 1, 2], "members"), ([0, 3, 1, 2], "members"), ([0, 2, 1, 9], "position"), ([3, 2, 0, 1], "kind")):
+        bad = spark.createDataFrame([(0, flat)], "group_id long, flat array<long>")
+        with pytest.raises(Exception, match=message):
+            report.decode_groups(bad, df).collect()
+
+
+def test_regroup_with_evidence_and_names(spark):
+    df = rows(spark, [("a", "h", None, None), ("b", "h", None, None), ("c", "i", None, None), ("d", "i", None, None), ("e", "i", None, None)])
+    gone = spark.createDataFrame([("a",), ("d",)], "id string")
+    left, pairs = regroup.regroup_with_evidence(cluster.cluster_duplicates(df), df, gone)
+    assert groups(left) == [("EXACT", ["c", "e"])]
+    assert [(r["left_id"], r["right_id"], r["exact_match"]) for r in pairs.collect()] == [("c", "e", True)]
+    names = spark.createDataFrame([("c", "Sea")], "id string, display_name string")
+    assert [(r["left_name"], r["right_name"]) for r in evidence.with_names(pairs, names).collect()] == [("Sea", "e")]
+
+
+@pytest.mark.parametrize("oks, text", [([True], "Deleted 1 photo."), ([True, True], "Deleted 2 photos."), ([True, False, False], "Deleted 1; 2 could not be deleted."), ([False], "No photos were deleted. The selected storage provider may not allow deletion.")])
+def test_delete_messages(spark, oks, text):
+    df = spark.createDataFrame([(str(i), ok) for i, ok in enumerate(oks)], "id string, ok boolean")
+    assert regroup.delete_message(df).first()["message"] == text
+
+
+def test_many_groups_are_numbered_in_order(spark):
+    df = spark.range(500).selectExpr("IF(id % 3 = 0, 'EXACT', 'RELATED') AS kind", "id * 7 AS group_id", "1 AS member_pos", "string(id) AS id")
+    got = {(r["kind"], r["group_id"]): r["number"] for r in report.numbered_groups(df.repartition(7)).collect()}
+    for kind in ("EXACT", "RELATED"):
+        ids = sorted(g for k, g in got if k == kind)
+        assert [got[kind, g] for g in ids] == list(range(1, len(ids) + 1))

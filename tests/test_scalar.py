@@ -88,7 +88,9 @@ def test_texts(spark):
     assert one(spark, S.plural(F.lit(1), "photo")) == "1 photo" and one(spark, S.plural(F.lit(3), "photo")) == "3 photos"
     assert one(spark, S.progress_ratio(F.lit(1), F.lit(0))) == 0 and one(spark, S.progress_ratio(F.lit(1), F.lit(4))) == 0.25
     assert one(spark, S.evidence_label(F.lit("MODIFIED_COPY"), F.lit(3), F.lit(0.5))) == "dHash 3/64 (passes at ≤ 8) • MobileNet 50.0%"
-    assert one(spark, S.evidence_label(F.lit("RELATED"), F.lit(3), F.lit(0.5))).startswith("MobileNet 50.0%")
+    assert one(spark, S.evidence_label(F.lit("RELATED"), F.lit(3), F.lit(0.5))) == "MobileNet 50.0% (passes at ≥ 85.0%) • dHash 3/64"
+    assert one(spark, S.evidence_label(F.lit("EXACT"), F.lit(0), F.lit(1.0))) == "Matching SHA-256 file hashes"
+    assert [one(spark, S.exposure_label(F.lit(c))) for c in ("UNDEREXPOSED", "OVEREXPOSED", "NORMAL")] == ["Possibly underexposed", "Possibly overexposed", "Normal exposure"]
     assert one(spark, S.display_name(F.lit(None).cast("string"), F.lit("a/b/c.jpg"))) == "c.jpg"
     assert one(spark, S.display_name(F.lit(None).cast("string"), F.lit("a/"))) == "Unnamed image"
 

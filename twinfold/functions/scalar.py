@@ -144,13 +144,16 @@ def format_bytes(n: Column) -> Column:
 
 
 def exposure_label(classification: Column) -> Column:
-    return F.when(classification == "UNDEREXPOSED", "Underexposed").when(classification == "OVEREXPOSED", "Overexposed").otherwise("Normal exposure")
+    return F.when(classification == "UNDEREXPOSED", "Possibly underexposed").when(classification == "OVEREXPOSED", "Possibly overexposed").otherwise("Normal exposure")
 
 
-def evidence_label(kind: Column, distance: Column, similarity: Column, threshold: int = 8) -> Column:
-    bits = F.concat(F.lit("dHash "), distance.cast("string"), F.lit(f"/64 (passes at ≤ {threshold})"))
+def evidence_label(kind: Column, distance: Column, similarity: Column, threshold: int = 8, least: float = 0.85) -> Column:
+    """What a pair of a group shows: the feature that its kind is judged by first, with the threshold it passes at."""
+    bits = F.concat(F.lit("dHash "), distance.cast("string"), F.lit("/64"))
     model = F.concat(F.lit("MobileNet "), format_percent(similarity))
-    return F.when(kind == "EXACT", "Identical content (SHA-256)").when(kind == "MODIFIED_COPY", F.concat(bits, F.lit(" • "), model)).otherwise(F.concat(model, F.lit(" • "), bits))
+    modified = F.concat(bits, F.lit(f" (passes at ≤ {threshold}) • "), model)
+    related = F.concat(model, F.lit(" (passes at ≥ "), format_percent(F.lit(least)), F.lit(") • "), bits)
+    return F.when(kind == "EXACT", "Matching SHA-256 file hashes").when(kind == "MODIFIED_COPY", modified).otherwise(related)
 
 
 def progress_ratio(done: Column, total: Column) -> Column:

@@ -36,3 +36,11 @@ def evidence_pairs(groups: DataFrame, rows: DataFrame, limit: int = PAIRS) -> Da
         S.hamming_distance(F.coalesce("l_perceptual_hash", F.lit(0)), F.coalesce("r_perceptual_hash", F.lit(0))).alias("hamming_distance"),
         F.coalesce(S.cosine_of(F.col("l_embedding"), F.col("r_embedding"), F.col("l__norm"), F.col("r__norm")), F.lit(0.0).cast("float")).alias("cosine_similarity"),
     )
+
+
+def with_names(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs`` with ``left_name`` and ``right_name`` from ``names(id, display_name)``; the id itself where there is none."""
+    for side in ("left", "right"):
+        of = names.select(F.col("id").alias(f"{side}_id"), F.col("display_name").alias(f"{side}_name"))
+        pairs = pairs.join(of, f"{side}_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_id"))
+    return pairs

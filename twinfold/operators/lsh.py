@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.session import materialize
+
 # Fixed values of the generator of projection signs: its seed; only the lowest bit of each state is used.
 SEED = 0xD1B54A32D192ED03
 _MASK = (1 << 64) - 1
@@ -53,8 +55,9 @@ def signatures(rows: DataFrame, bits: int, dimension: int, tables: int = 12) ->
 def lsh_candidates(sigs: DataFrame, bits: int, limit: int | None = 256) -> DataFrame:
     """``(q, c)``: each row with the earlier rows in its buckets or those one bit away, in any table.
 
-    With ``limit`` a row keeps its first so many distinct candidates, in order of table, probe and position.  The first
-    ``limit`` entries of a bucket are distinct, so no later one can matter and buckets are cut there.
+    With ``limit`` a row keeps its first so many distinct candidates, in order of table, probe and position.  The
+    candidates of one table are distinct, so a table adds no more than ``limit``, and none comes after a table that alone
+    has so many: how many each probe meets is counted first, and the join makes only entries that can still count.
     """
     probes = F.array(F.lit(0), *[F.lit(1 << k) for k in range(bits)])
     tables = sigs.select("ord", F.posexplode("sigs").alias("tbl", "sig"))
@@ -63,9 +66,19 @@ def lsh_candidates(sigs: DataFrame, bits: int, limit: int | None = 256) -> DataF
     c = tables.select(F.col("ord").alias("c"), "tbl", "sig")
     if limit is None:
         return q.join(c, ["tbl", "sig"]).where(F.col("c") < F.col("q")).select("q", "c").distinct()
+    if limit <= 0:
+        raise ValueError("a limit must be positive")
     place = F.row_number().over(Window.partitionBy("tbl", "sig").orderBy("c"))
-    c = c.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
-    met = q.join(c, ["tbl", "sig"]).where(F.col("c") < F.col("q"))
+    firsts = materialize(c.withColumn("n", place).where(F.col("n") <= limit), "firsts")
+    held = firsts.groupBy("tbl", "sig").agg(F.collect_list("c").alias("held"))  # at most limit a bucket
+    q = q.join(held, ["tbl", "sig"]).withColumn("met", F.size(F.filter("held", lambda c: c < F.col("q")))).drop("held").where("met > 0")
+    turn = Window.partitionBy("q").orderBy("tbl", "probe")
+    earlier = turn.rowsBetween(Window.unboundedPreceding, -1)
+    q = q.withColumn("all", F.coalesce(F.sum("met").over(earlier), F.lit(0)))
+    q = q.withColumn("before", F.col("all") - F.min("all").over(Window.partitionBy("q", "tbl").orderBy("probe")))
+    q = q.withColumn("most", F.coalesce(F.max(F.col("before") + F.col("met")).over(earlier), F.lit(0)))
+    q = q.where(F.col("most") < limit).select("q", "tbl", "sig", "probe", F.least(F.col("met"), F.lit(limit) - F.col("before")).alias("take"))
+    met = q.join(firsts, ["tbl", "sig"]).where(F.col("n") <= F.col("take"))
     first = met.groupBy("q", "c").agg(F.min(F.col("tbl") * 64 + F.col("probe")).alias("at"))
-    turn = F.row_number().over(Window.partitionBy("q").orderBy("at", "c"))
-    return first.withColumn("_n", turn).where(F.col("_n") <= limit).select("q", "c")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("at", "c"))
+    return first.withColumn("_n", rank).where(F.col("_n") <= limit).select("q", "c")

@@ -5,10 +5,18 @@ A hash is cut into r + 1 blocks; two hashes within r bits are equal in one of th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions import scalar as S
+from twinfold.operators.components import smallest_reached
+from twinfold.session import materialize
+
+META = ("width", "height", "file_size")
+#: Rows of a bucket that one task compares with as many others, and rows of a tile of working space.
+BLOCK, TILE = 8_192, 1_024
 
 
 def mih_blocks(rows: DataFrame, threshold: int) -> DataFrame:
@@ -22,8 +30,8 @@ def mih_pairs(rows: DataFrame, threshold: int, max_checks: int | None = None) ->
 
     Without ``max_checks`` all pairs within the threshold are found: a pair is kept in the first block where it is
     equal, so none has to be made distinct.  With it a row inspects at most so many bucket entries, in order of block
-    and position, repeats and misses included; only the first ``max_checks`` entries of a bucket can be among
-    them, so buckets are cut there and the join stays linear in the rows.
+    and position, repeats and misses included.  What each block adds follows from the row's place in its bucket, so the
+    join makes those entries alone: never more than ``max_checks`` a row, and no bucket is read beyond its first ones.
     """
     S.block_layout(threshold)
     blocks = mih_blocks(rows, threshold)
@@ -35,8 +43,67 @@ def mih_pairs(rows: DataFrame, threshold: int, max_checks: int | None = None) ->
         first = F.coalesce(*[F.when(S.hash_block(x, threshold, b) == 0, F.lit(b)) for b in range(threshold + 1)])
         pairs = q.join(c, ["block", "key"]).where(F.col("c") < F.col("q")).where((distance <= threshold) & (first == F.col("block")))
         return pairs.select("q", "c", distance.alias("distance"))
+    if max_checks == 0:
+        return q.limit(0).select("q", F.col("q").alias("c"), F.lit(0).alias("distance"))
     place = F.row_number().over(Window.partitionBy("block", "key").orderBy("c"))
-    c = c.withColumn("_n", place).where(F.col("_n") <= max_checks).drop("_n")
-    turn = F.row_number().over(Window.partitionBy("q").orderBy("block", "c"))
-    checked = q.join(c, ["block", "key"]).where(F.col("c") < F.col("q")).withColumn("_n", turn).where(F.col("_n") <= max_checks)
-    return checked.where(distance <= threshold).select("q", "c", distance.alias("distance")).distinct()
+    firsts = materialize(c.withColumn("n", place).where(F.col("n") <= max_checks), "firsts")
+    # a row that is not among the first of its bucket has at least so many before it
+    own = firsts.select(F.col("c").alias("q"), "block", "key", (F.col("n") - 1).alias("met"))
+    q = q.join(own, ["q", "block", "key"], "left").withColumn("met", F.coalesce("met", F.lit(max_checks))).where(F.col("met") > 0)
+    before = F.coalesce(F.sum("met").over(Window.partitionBy("q").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    q = q.withColumn("take", F.least(F.col("met"), F.lit(max_checks) - before)).where(F.col("take") > 0)
+    near = q.join(firsts, ["block", "key"]).where((F.col("n") <= F.col("take")) & (distance <= threshold))
+    return near.select("q", "c", distance.alias("distance")).distinct()
+
+
+def _accepts(x: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The metadata filter for every pair of these rows, as ``scalar.passes_metadata``."""
+    w, h, size = (x[k] for k in META)
+    known = ((w[i] > 0) & (h[i] > 0))[:, None] & ((w[j] > 0) & (h[j] > 0))[None, :]
+    ratio = np.where((w > 0) & (h > 0), w / np.maximum(h, 1), 1.0)
+    a, b = ratio[i][:, None], ratio[j][None, :]
+    near = np.where(a > b, a / b, b / a) <= 1.2
+    s, t = size[i][:, None], size[j][None, :]
+    sized = (s > 0) & (t > 0) & (np.maximum(s, t) > np.minimum(s, t) * 10)
+    return ~known | (near & ~sized)
+
+
+def mih_forest(rows: DataFrame, threshold: int, metadata: bool = True) -> DataFrame:
+    """``(q, c)`` edges that connect all rows within the threshold (and, with ``metadata``, alike in shape and size).
+
+    Every bucket returns a spanning forest of its links, fewer edges than it has rows and never all its pairs; a bucket
+    of more than ``BLOCK`` rows is compared block by block in tasks of their own.
+    """
+    S.block_layout(threshold)
+    there = rows.where("perceptual_hash IS NOT NULL")
+    cells = [F.coalesce(c, F.lit(0)).cast("double" if c != "file_size" else "long").alias(c) if metadata else F.lit(0).alias(c) for c in META]
+    blocks = mih_blocks(there, threshold).join(there.select("ord", *cells), "ord")
+    sizes = mih_blocks(there, threshold).groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = blocks.join(sizes, ["block", "key"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("ord"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("n", "parts", "other")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in key[2:])
+        x = {c: table.column(c).to_numpy() for c in ("ord", "own", "perceptual_hash", *META)}
+        bits = x["perceptual_hash"].view(np.uint64)
+        left, right = np.flatnonzero(x["own"] == lo), np.flatnonzero(x["own"] == hi)
+        root = np.arange(len(bits))
+        for a in range(0, len(left), TILE):
+            i = left[a : a + TILE]
+            for b in range(a if lo == hi else 0, len(right), TILE):
+                j = right[b : b + TILE]
+                near = np.bitwise_count(bits[i][:, None] ^ bits[j][None, :]) <= threshold
+                if metadata and near.any():
+                    near &= _accepts(x, i, j)
+                m, n = np.nonzero(near)
+                u, v = root[i[m]], root[j[n]]
+                if (u != v).any():
+                    nodes, low = smallest_reached(u[u != v], v[u != v])
+                    new = np.arange(len(bits))
+                    new[nodes] = low
+                    root = new[root]
+        some = np.flatnonzero(root != np.arange(len(bits)))
+        return pa.table({"q": x["ord"][some], "c": x["ord"][root[some]]})
+
+    return dealt.groupBy("block", "key", "lo", "hi").applyInArrow(compare, "q long, c long")

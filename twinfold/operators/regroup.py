@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.operators.evidence import evidence_pairs
+
 
 def delete_rows(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(deleted.select("id"), "id", "left_anti")
@@ -18,12 +20,19 @@ def regroup(groups: DataFrame, deleted: DataFrame) -> DataFrame:
     return left.join(big, ["kind", "group_id"], "left_semi").select("kind", "group_id", pos.alias("member_pos"), "id")
 
 
+def regroup_with_evidence(groups: DataFrame, rows: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the groups, and the evidence of it: pairs are made anew from the rows that stay."""
+    left = regroup(groups, deleted)
+    return left, evidence_pairs(left, delete_rows(rows, deleted))
+
+
 def delete_message(outcomes: DataFrame) -> DataFrame:
     """One row ``message`` from ``outcomes(id, ok)``."""
     counts = outcomes.agg(F.count_if("ok").alias("good"), F.count("*").alias("n"))
+    good, bad = F.col("good").cast("string"), (F.col("n") - F.col("good")).cast("string")
     text = (
-        F.when(F.col("good") == 0, "No photos could be deleted")
-        .when(F.col("good") == F.col("n"), F.concat(F.lit("Deleted "), F.col("good").cast("string"), F.when(F.col("good") == 1, " photo").otherwise(" photos")))
-        .otherwise(F.concat(F.lit("Deleted "), F.col("good").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" photos")))
+        F.when(F.col("good") == 0, "No photos were deleted. The selected storage provider may not allow deletion.")
+        .when(F.col("good") == F.col("n"), F.concat(F.lit("Deleted "), good, F.when(F.col("good") == 1, " photo.").otherwise(" photos.")))
+        .otherwise(F.concat(F.lit("Deleted "), good, F.lit("; "), bad, F.lit(" could not be deleted.")))
     )
     return counts.select(text.alias("message"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinfold.schema import EXACT, MODIFIED_COPY, RELATED
+from twinfold.schema import EXACT, GROUPS, MODIFIED_COPY, RELATED
+from twinfold.session import materialize
 
 
 def cleanup_suggestions(groups: DataFrame) -> DataFrame:
@@ -33,9 +34,17 @@ def summary_counts(rows: DataFrame, groups: DataFrame, exposures: DataFrame) ->
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
-    """``(kind, group_id, number)``: groups of a kind numbered from 1 in order of their first member."""
-    first = groups.select("kind", "group_id").distinct()
-    return first.withColumn("number", F.row_number().over(Window.partitionBy("kind").orderBy("group_id")))
+    """``(kind, group_id, number)``: groups of a kind numbered from 1 in order of their first member.
+
+    Groups are dealt by ranges of kind and id, each range counts its own, and what stands before it in its kind is added.
+    """
+    first = groups.select("kind", "group_id").distinct().repartitionByRange("kind", "group_id")
+    ranged = materialize(first.withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("kind", "_part").agg(F.count("*").alias("_n"))  # a row for each range and kind
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("kind", "_part", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("kind", "_part").orderBy("group_id"))
+    return ranged.withColumn("_own", own).join(sizes, ["kind", "_part"]).select("kind", "group_id", (F.col("_own") + F.col("_before")).cast("int").alias("number"))
 
 
 def chunked(members: DataFrame, size: int = 2) -> DataFrame:
@@ -43,8 +52,42 @@ def chunked(members: DataFrame, size: int = 2) -> DataFrame:
     return members.withColumn("chunk", F.floor((F.col("member_pos") - 1) / size).cast("int"))
 
 
-def flat_groups(groups: DataFrame) -> DataFrame:
-    """One array a group: kind code, member count, then the members' ids."""
-    code = F.when(F.col("kind") == EXACT, 0).when(F.col("kind") == MODIFIED_COPY, 1).otherwise(2).cast("string")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("member_pos", "id"))), lambda m: m.id)
-    return groups.groupBy("kind", "group_id").agg(ids.alias("ids")).select("group_id", F.concat(F.array(code, F.size("ids").cast("string")), "ids").alias("flat"))
+CODES = {EXACT: 0, MODIFIED_COPY: 1, RELATED: 2}
+
+
+def flat_groups(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(group_id, flat array<bigint>)``, one array a group: kind code, member count, then the members' positions (``ord``)."""
+    code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(c)) for k, c in CODES.items()]).cast("long")
+    placed = groups.join(rows.select("id", "ord"), "id")
+    members = F.transform(F.array_sort(F.collect_list(F.struct("member_pos", "ord"))), lambda m: m.ord)
+    return placed.groupBy("kind", "group_id").agg(members.alias("m")).select("group_id", F.concat(F.array(code, F.size("m").cast("long")), "m").alias("flat"))
+
+
+def decode_groups(flat: DataFrame, rows: DataFrame) -> DataFrame:
+    """Groups from ``flat(group_id, flat)``, the other way round.
+
+    The query fails for an array without kind and count, a count below two or other than the members that follow, a
+    position that ``rows`` has not, and an unknown kind.
+    """
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<bigint>")
+    n, count = F.size("flat"), F.get("flat", F.lit(1))
+    kind = F.coalesce(*[F.when(F.get("flat", F.lit(0)) == c, F.lit(k)) for k, c in CODES.items()])
+    members = (
+        F.when(F.col("flat").isNull() | (n < 2), fail("a group's header is incomplete"))
+        .when(F.coalesce((count < 2) | (n != count + 2), F.lit(True)), fail("a group's members are incomplete"))
+        .when(kind.isNull(), fail("a group's kind is unknown"))
+        .otherwise(F.slice("flat", F.lit(3), F.greatest(n - 2, F.lit(0))))
+    )
+    found = flat.select("group_id", kind.alias("kind"), F.posexplode(members).alias("pos", "ord")).join(rows.select("ord", "id"), "ord", "left")
+    known = F.when(F.col("id").isNull(), F.raise_error(F.lit("a group's position is unknown")).cast("string")).otherwise(F.col("id"))
+    return found.select("kind", "group_id", (F.col("pos") + 1).cast("int").alias("member_pos"), known.alias("id"))
+
+
+def write_groups(groups: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write groups as Parquet, a folder for each kind."""
+    groups.select(*GROUPS.names).write.mode(mode).partitionBy("kind").parquet(path)
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The groups that ``write_groups`` wrote; a kind's folder alone is read where the kind is asked for."""
+    return spark.read.schema(GROUPS).parquet(path).select(*GROUPS.names)

@@ -12,7 +12,7 @@ from twinfold.operators.validate import validate
 from twinfold.schema import EXACT, FINGERPRINTS, MODIFIED_COPY, RELATED, ClusterOptions
 from twinfold.session import materialize
 
-META = ("width", "height", "file_size")
+META = mih.META
 
 
 def complete(rows: DataFrame) -> DataFrame:
@@ -41,6 +41,8 @@ def modified_members(reps: DataFrame, options: ClusterOptions) -> DataFrame:
     """Components of representatives within the Hamming threshold that pass the metadata filter; none at threshold 0."""
     if options.hamming_threshold == 0:
         return reps.limit(0).select(F.lit(MODIFIED_COPY).alias("kind"), F.col("ord").alias("group_id"), "ord", "id")
+    if options.max_checks is None:
+        return _members(mih.mih_forest(reps, options.hamming_threshold), reps, MODIFIED_COPY)
     pairs = mih.mih_pairs(reps, options.hamming_threshold, options.max_checks)
     return _members(_sides(pairs, reps, *META).where(_metadata()), reps, MODIFIED_COPY)
 
@@ -84,10 +86,9 @@ def cluster_duplicates(rows: DataFrame, options: ClusterOptions | None = None, c
     Only the first row of each content enters the later phases.
     """
     options = options or ClusterOptions()
-    rows = complete(rows)
+    rows = materialize(complete(rows), "rows")
     if check:
         validate(rows)
-    rows = materialize(rows, "rows")
     reps = materialize(exact.representatives(rows), "representatives")
     same = exact.exact_members(rows)
     modified = materialize(modified_members(reps, options), "modified")

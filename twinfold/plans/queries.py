@@ -1,13 +1,12 @@
 """The registered queries: every operator over the supplied tables.
 
-Documents serve as rows with a content hash, a hash of their first characters and dimensions; ``embeddings`` as rows with
-a vector.  Those that start with ``whole_`` are the same over the whole text.  The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
+Documents serve as rows with a content hash, a hash of all their words and dimensions; ``embeddings`` as rows with a vector.
+The similarity threshold is 0.40, as no two of the supplied vectors reach the default of 0.85.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,47 +15,44 @@ from twinfold import sources
 from twinfold.functions import scalar as S
 from twinfold.operators import evidence, exact, lsh, mih, regroup, report
 from twinfold.operators.components import connected_components
+from twinfold.operators.validate import problems
 from twinfold.plans import cluster
-from twinfold.plans.oracles import WHOLE, WHOLE_VALUES
 from twinfold.schema import ClusterOptions
-from twinfold.session import materialize
+from twinfold.session import file_system, materialize, shared_path, written
 
-#: Set while a ``whole_`` counterpart is planned: hashes are then of the whole text.
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 OPTIONS = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40)
 UNCAPPED = ClusterOptions(hamming_threshold=8, similarity_threshold=0.40, max_checks=None, candidate_limit=None)
 
 
-def _grid() -> Callable:
-    return sources.whole_grid if _WHOLE.get() else sources.prefix_grid
-
+def _docs(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
+    return sources.document_fingerprints(spark, d, vectors)
 
-def _values() -> Callable:
-    return sources.text_codes if _WHOLE.get() else sources.prefix_grid
 
+def _reps(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(exact.representatives(_docs(spark, d)), "representatives")
 
-def _whole(query: Callable) -> Callable:
-    def of(spark: SparkSession, d: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return query(spark, d)
-        finally:
-            _WHOLE.reset(token)
 
-    return of
+#: The clustering of the last tables, by session, folder and state of its files: many queries start from it.
+_SHARED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
-def _docs(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    return sources.document_fingerprints(spark, d, vectors, _grid())
-
-
-def _reps(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(exact.representatives(_docs(spark, d)), "representatives")
+def _state(spark: SparkSession, d: str) -> tuple:
+    """Sizes and times of the files of the tables that the clustering reads."""
+    out = []
+    for name in ("documents", "embeddings"):
+        fs, path = file_system(spark, f"{d}/{name}.parquet")
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(sorted(out))
 
 
 def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = materialize(_docs(spark, d, True), "rows")
-    return rows, materialize(cluster.cluster_duplicates(rows, OPTIONS), "clusters")
+    """Rows and groups of the documents, computed once for as long as the files and the intermediate data stay."""
+    key = (spark.sparkContext.applicationId, d, _state(spark, d))
+    if key not in _SHARED or not all(written(x) for x in _SHARED[key]):
+        rows = materialize(_docs(spark, d, True), "rows")
+        _SHARED.clear()
+        _SHARED[key] = rows, materialize(cluster.cluster_duplicates(rows, OPTIONS), "clusters")
+    return _SHARED[key]
 
 
 def _deleted(rows: DataFrame) -> DataFrame:
@@ -76,11 +72,11 @@ def sha256_hash(spark, d):
 
 
 def dhash(spark, d):
-    return sources.document_grids(spark, d, _grid()).select("id", S.difference_hash(S.checked_grid(F.col("luminance"))).alias("perceptual_hash"))
+    return sources.document_grids(spark, d).select("id", S.difference_hash(S.checked_grid(F.col("luminance"))).alias("perceptual_hash"))
 
 
 def exposure(spark, d):
-    grids = sources.document_grids(spark, d, _values()).select("id", S.exposure(F.col("luminance")).alias("e"))
+    grids = sources.document_grids(spark, d, sources.text_codes).select("id", S.exposure(F.col("luminance")).alias("e"))
     return grids.select("id", "e.classification", F.round("e.mean_luminance", 6).alias("mean_luminance"), F.round("e.dark_pixel_ratio", 6).alias("dark_pixel_ratio"), F.round("e.bright_pixel_ratio", 6).alias("bright_pixel_ratio"))
 
 
@@ -88,20 +84,8 @@ def exposure_labels(spark, d):
     return exposure(spark, d).select("id", S.exposure_label(F.col("classification")).alias("label"))
 
 
-def luminance(spark, d):
-    g = sources.document_grids(spark, d)
-    at = lambda k: F.element_at("luminance", k)
-    return g.select("id", S.luminance(at(1), at(2), at(3)).alias("luminance"))
-
-
-def rgb_normalise(spark, d):
-    g = sources.document_grids(spark, d)
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.element_at("luminance", k * 3 + 1) * 65536 + F.element_at("luminance", k * 3 + 2) * 256 + F.element_at("luminance", k * 3 + 3))
-    return g.select("id", F.posexplode(S.normalised_rgb(pixels)).alias("pos", "v")).select("id", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
-
-
 def _triples(of: Callable) -> Callable:
-    """``of(red, green, blue)`` of every three values in turn, with 0 past the end."""
+    """``of(red, green, blue)`` of every three values of a text in turn, with 0 past the end."""
     def all_of(codes: F.Column) -> F.Column:
         at = lambda k: F.coalesce(F.get(codes, k), F.lit(0))
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / 3).cast("int")), lambda k: of(at(k * 3), at(k * 3 + 1), at(k * 3 + 2)))
@@ -109,14 +93,19 @@ def _triples(of: Callable) -> Callable:
     return lambda text: S.let(sources.text_codes(text), all_of)
 
 
-def whole_luminance(spark, d):
-    return sources.document_grids(spark, d, _triples(S.luminance)).select("id", "luminance")
+def _digest(values: F.Column) -> list[F.Column]:
+    return [F.size(values).alias("n"), F.md5(F.array_join(F.transform(values, lambda v: v.cast("string")), ",")).alias("digest")]
 
 
-def whole_rgb_normalise(spark, d):
+def luminance(spark, d):
+    g = sources.document_grids(spark, d, _triples(S.luminance))
+    return g.select("id", *_digest(F.col("luminance")))
+
+
+def rgb_normalise(spark, d):
     g = sources.document_grids(spark, d, _triples(lambda r, g, b: r * 65536 + g * 256 + b))
-    value = F.transform(S.normalised_rgb(F.col("luminance")), lambda v: F.round(v.cast("double"), 6))
-    return g.select("id", value.alias("value"))
+    millionths = F.transform(S.normalised_rgb(F.col("luminance")), lambda v: F.round(v.cast("double") * 1000000).cast("long"))
+    return g.select("id", millionths.alias("v")).select("id", *_digest(F.col("v")))
 
 
 def hamming_pairs(spark, d):
@@ -135,6 +124,15 @@ def mih_candidates_capped(spark, d):
     return mih.mih_pairs(_reps(spark, d), 8, 256)
 
 
+def mih_candidates_tight(spark, d):
+    """A budget that many rows of the supplied tables use up."""
+    return mih.mih_pairs(_reps(spark, d), 8, 32)
+
+
+def lsh_candidates_tight(spark, d):
+    return lsh.lsh_candidates(*_signatures(spark, d), 24)
+
+
 def metadata_filter_pairs(spark, d):
     reps = _reps(spark, d)
     return cluster._sides(mih.mih_pairs(reps, 8), reps, *cluster.META).select("q", "c", cluster._metadata().alias("passes"))
@@ -187,7 +185,7 @@ def related_groups(spark, d):
 
 
 def cluster_all(spark, d):
-    return cluster.cluster_duplicates(_docs(spark, d, True), OPTIONS)
+    return _clustered(spark, d)[1]
 
 
 def singletons(spark, d):
@@ -256,7 +254,7 @@ def preview_size(spark, d):
 
 
 def hash_components(spark, d):
-    return connected_components(mih.mih_pairs(_reps(spark, d), 4), "q", "c")
+    return connected_components(mih.mih_forest(_reps(spark, d), 4, metadata=False), "q", "c")
 
 
 def application_groups(spark, d):
@@ -280,8 +278,62 @@ def selection_evidence(spark, d):
     return evidence.evidence_pairs(whole, rows).select("left_id", "right_id", "exact_match", "hamming_distance")
 
 
+def evidence_missing(spark, d):
+    """Groups as they were, where every third member's row is gone."""
+    rows, groups = _clustered(spark, d)
+    out = evidence.evidence_pairs(groups, regroup.delete_rows(rows, _deleted(rows)))
+    return out.select("kind", "group_id", "left_id", "right_id", "exact_match", "hamming_distance")
+
+
+def evidence_names(spark, d):
+    rows, groups = _clustered(spark, d)
+    names = rows.where("ord % 2 = 0").select("id", F.concat(F.lit("name of "), "id").alias("display_name"))
+    return evidence.with_names(evidence.evidence_pairs(groups, rows), names).select("kind", "group_id", "left_id", "right_id", "left_name", "right_name")
+
+
 def flat_groups(spark, d):
-    return report.flat_groups(_clustered(spark, d)[1]).select("group_id", F.array_join("flat", ",").alias("flat"))
+    rows, groups = _clustered(spark, d)
+    return report.flat_groups(groups, rows).select("group_id", F.array_join("flat", ",").alias("flat"))
+
+
+def decoded_groups(spark, d):
+    rows, groups = _clustered(spark, d)
+    return report.decode_groups(report.flat_groups(groups, rows), rows)
+
+
+def written_groups(spark, d):
+    path = shared_path(spark, "groups")
+    report.write_groups(_clustered(spark, d)[1], path)
+    return report.read_groups(spark, path)
+
+
+def delete_regroup_evidence(spark, d):
+    rows, groups = _clustered(spark, d)
+    out = regroup.regroup_with_evidence(groups, rows, _deleted(rows))[1]
+    return out.select("kind", "group_id", "left_id", "right_id", "exact_match", "hamming_distance")
+
+
+def known_dimensions(spark, d):
+    odd = _docs(spark, d).select("id", (F.col("width") - 500).alias("width"), F.when(F.col("ord") % 3 > 0, F.col("height")).alias("height"), (F.col("file_size") - 700).alias("file_size"))
+    return sources.known_dimensions(odd)
+
+
+def validation_report(spark, d):
+    """What validation finds in the vectors as they are and with one fault each."""
+    rows = sources.embedding_fingerprints(spark, d)
+    some = F.col("ord") % 100 == 7
+    faulty = {
+        "clean": rows,
+        "empty": rows.withColumn("id", F.when(some, "").otherwise(F.col("id"))),
+        "repeated": rows.withColumn("id", F.concat(F.lit("v"), F.floor(F.col("ord") / 2).cast("string"))),
+        "dimension": rows.withColumn("embedding", F.when(some, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))),
+        "odd": rows.withColumn("embedding", F.when(some, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding"))),
+    }
+    parts = [problems(x).select(F.lit(name).alias("fixture"), "*") for name, x in faulty.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def member_chunks(spark, d):
@@ -312,8 +364,8 @@ def columnar_source(spark, d):
     four = lambda c: F.array_repeat(c, 4)
     names = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat_ws("-", F.col("vec_id"), k))
     sized = [four(F.lit(n)).alias(c) for n, c in ((9, "widths"), (8, "heights"), (72, "file_sizes"))]
-    batches = e.select(names.alias("hashes"), four(F.col("vec_id")).alias("perceptual_hashes"), F.col("embedding").alias("vectors"), F.lit(16).alias("dimension"), *sized)
-    rows = sources.from_columns(batches)
+    batches = e.select(F.col("vec_id").alias("batch"), names.alias("hashes"), four(F.col("vec_id")).alias("perceptual_hashes"), F.col("embedding").alias("vectors"), F.lit(16).alias("dimension"), *sized)
+    rows = sources.from_columns(batches, "batch")
     return rows.select("id", "content_hash", "perceptual_hash", "width", "file_size", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"))
 
 
@@ -329,12 +381,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_groups, representatives, sha256_hash, dhash, exposure, exposure_labels, luminance, rgb_normalise, hamming_pairs, mih_blocks,
-        mih_candidates_exact, mih_candidates_capped, metadata_filter_pairs, lsh_signatures, lsh_candidates, lsh_candidates_capped,
-        cosine_pairs, modified_groups, related_groups, cluster_all, singletons, evidence_pairs, cleanup_suggestions, selected_bytes,
-        summary_counts, numbered_groups, delete_regroup, delete_rows, embedding_comparisons, l2_normalise, format_bytes, format_number, preview_size,
-        hash_components, application_groups, evidence_preview, evidence_labels, selection_evidence, flat_groups, member_chunks,
-        toggled_selection, delete_message, display_names, selected_files, columnar_source, progress_ratio, plural_labels,
+        mih_candidates_exact, mih_candidates_capped, mih_candidates_tight, metadata_filter_pairs, lsh_signatures, lsh_candidates, lsh_candidates_capped,
+        lsh_candidates_tight, cosine_pairs, modified_groups, modified_groups_uncapped, related_groups, related_groups_uncapped, cluster_all, cluster_all_uncapped,
+        singletons, evidence_pairs, evidence_missing, evidence_names, cleanup_suggestions, selected_bytes, summary_counts, numbered_groups, delete_regroup,
+        delete_regroup_evidence, delete_rows, embedding_comparisons, l2_normalise, format_bytes, format_number, preview_size, hash_components,
+        application_groups, evidence_preview, evidence_labels, selection_evidence, flat_groups, decoded_groups, written_groups, member_chunks,
+        toggled_selection, delete_message, display_names, selected_files, columnar_source, known_dimensions, validation_report, progress_ratio, plural_labels,
     )
 }
-QUERIES |= {f"whole_{name}": _whole(QUERIES[name]) for name in (*WHOLE, *WHOLE_VALUES[:3])}
-QUERIES |= {f.__name__: f for f in (whole_luminance, whole_rgb_normalise, modified_groups_uncapped, related_groups_uncapped, cluster_all_uncapped)}

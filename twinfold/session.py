@@ -81,6 +81,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> bool:
+    """True while the files are there that ``df``, made by ``materialize``, reads."""
+    fs, path = file_system(df.sparkSession, df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else (None, None)
+    return fs is not None and fs.exists(path)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` is proven to hold at most ``max_rows`` rows (counts at most one row more than that)."""
     return df.limit(max_rows + 1).count() <= max_rows
