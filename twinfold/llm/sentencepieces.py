@@ -25,12 +25,14 @@ from twinfold.llm._words import WordMemo, bounded_batches, chunks, ship, text_sl
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.int32(2**31 - 1)
+#: Characters of text that are encoded at once.
+SLICE = 2_000_000
 
 
 class PieceCodec:
     """Encodes and decodes as the sentencepiece library does with a BPE model of plain pieces and byte fallback."""
 
-    def __init__(self, model: bytes, memo_words: int = 150_000):
+    def __init__(self, model: bytes, memo_words: int = 220_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
@@ -241,7 +243,7 @@ class PieceCodec:
         """The ids of every whole text; null counts as empty."""
         tail = np.array([self.eos], "<i4").tobytes() if eos else b""
         out: list[np.ndarray] = []
-        for a, b in chunks([len(t or "") for t in texts], 1_000_000):
+        for a, b in chunks([len(t or "") for t in texts], SLICE):
             words = [self.split(t or "") for t in texts[a:b]]
             of = self.memo.look_up(words)
             out += [np.frombuffer(b"".join([of[w] for w in ws]) + tail, "<i4") for ws in words]
@@ -303,7 +305,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value)
         for batch in batches:
-            for a, b, texts in text_slices(batch, 1):
+            for a, b, texts in text_slices(batch, 1, SLICE):
                 ids = own.encode(texts, eos)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
@@ -317,7 +319,7 @@ def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id",
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: every whole text encoded, and its ids decoded again.
 
     Null and empty texts have the end id alone and decode to the empty text.  Texts of any length are encoded whole, about
-    a million characters of a batch at a time.  Repeated rows, null ids and an empty table pass through; other columns
+    two million characters of a batch at a time.  Repeated rows, null ids and an empty table pass through; other columns
     are not read.
     """
     import hashlib
@@ -328,7 +330,7 @@ def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id",
         own = codec(model.value)
         for batch in batches:
             counts, shas, back = [], [], []
-            for _, _, texts in text_slices(batch, 1):
+            for _, _, texts in text_slices(batch, 1, SLICE):
                 for ids in own.encode(texts):
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(b" ".join([own.decimal[i] for i in ids.tolist()])).hexdigest())
