@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.operators.ranks import ranked
 from twinfold.schema import EXACT
 
 HAS_HASH = "content_hash IS NOT NULL AND content_hash <> ''"
@@ -24,6 +25,5 @@ def representatives(rows: DataFrame) -> DataFrame:
 
 
 def positioned(members: DataFrame) -> DataFrame:
-    """``(kind, group_id, member_pos, id)`` from ``(kind, group_id, ord, id)``."""
-    pos = F.row_number().over(Window.partitionBy("kind", "group_id").orderBy("ord"))
-    return members.select("kind", "group_id", pos.alias("member_pos"), "id")
+    """``(kind, group_id, member_pos, id)`` from ``(kind, group_id, ord, id)``; a group may hold any share of the rows."""
+    return ranked(members, ["kind", "group_id"], "ord", "member_pos").select("kind", "group_id", "member_pos", "id")

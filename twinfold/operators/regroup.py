@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.operators.evidence import evidence_pairs
+from twinfold.operators.ranks import ranked
 
 
 def delete_rows(rows: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def regroup(groups: DataFrame, deleted: DataFrame) -> DataFrame:
     """Groups without the deleted ids; groups of fewer than two go.  Nothing is clustered anew, so ``group_id`` stays."""
     left = groups.join(deleted.select("id"), "id", "left_anti")
     big = left.groupBy("kind", "group_id").count().where("count >= 2").select("kind", "group_id")
-    pos = F.row_number().over(Window.partitionBy("kind", "group_id").orderBy("member_pos"))
-    return left.join(big, ["kind", "group_id"], "left_semi").select("kind", "group_id", pos.alias("member_pos"), "id")
+    rest = left.join(big, ["kind", "group_id"], "left_semi").withColumnRenamed("member_pos", "_was")
+    return ranked(rest, ["kind", "group_id"], "_was", "member_pos").select("kind", "group_id", "member_pos", "id")
 
 
 def regroup_with_evidence(groups: DataFrame, rows: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinfold.operators.ranks import ranked
 from twinfold.schema import EXACT, GROUPS, MODIFIED_COPY, RELATED
-from twinfold.session import materialize
 
 
 def cleanup_suggestions(groups: DataFrame) -> DataFrame:
@@ -34,17 +34,8 @@ def summary_counts(rows: DataFrame, groups: DataFrame, exposures: DataFrame) ->
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
-    """``(kind, group_id, number)``: groups of a kind numbered from 1 in order of their first member.
-
-    Groups are dealt by ranges of kind and id, each range counts its own, and what stands before it in its kind is added.
-    """
-    first = groups.select("kind", "group_id").distinct().repartitionByRange("kind", "group_id")
-    ranged = materialize(first.withColumn("_part", F.spark_partition_id()), "numbered")
-    sizes = ranged.groupBy("kind", "_part").agg(F.count("*").alias("_n"))  # a row for each range and kind
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("kind", "_part", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("kind", "_part").orderBy("group_id"))
-    return ranged.withColumn("_own", own).join(sizes, ["kind", "_part"]).select("kind", "group_id", (F.col("_own") + F.col("_before")).cast("int").alias("number"))
+    """``(kind, group_id, number)``: groups of a kind numbered from 1 in order of their first member."""
+    return ranked(groups.select("kind", "group_id").distinct(), ["kind"], "group_id", "number")
 
 
 def chunked(members: DataFrame, size: int = 2) -> DataFrame:
