@@ -50,15 +50,17 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes, "hook": root})
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", thin: bool = True) -> DataFrame:
     """``(node, component)`` for every vertex of an edge; ``component`` is the smallest vertex it reaches.
 
     Edges are undirected BIGINT pairs.  Repeated edges and loops count once or not at all (a vertex with only a loop
-    is its own component); rows with a null end are ignored; an empty table gives no rows.
+    is its own component); rows with a null end are ignored; an empty table gives no rows.  ``thin`` cuts every batch of
+    edges to a forest first; edges that come from forests already, out of a Python function, need no second one in
+    the same task, which would hold a second Python worker.
     """
     ends = edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
     ends = ends.where("src IS NOT NULL AND dst IS NOT NULL")
-    forest = materialize(ends.mapInPandas(_forest, "src long, dst long").distinct(), "edges")
+    forest = materialize((ends.mapInPandas(_forest, "src long, dst long") if thin else ends).distinct(), "edges")
     left, loops = forest.where("src <> dst"), forest.where("src = dst").select(F.col("src").alias("node"))
     chain: list[DataFrame] = []
     spark = edges.sparkSession

@@ -32,8 +32,8 @@ def _metadata() -> F.Column:
     return S.passes_metadata(*[F.col(f"{s}_{c}") for s in ("q", "c") for c in META])
 
 
-def _members(pairs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
-    comp = connected_components(pairs, "q", "c").withColumnRenamed("node", "ord")
+def _members(pairs: DataFrame, rows: DataFrame, kind: str, thin: bool = True) -> DataFrame:
+    comp = connected_components(pairs, "q", "c", thin).withColumnRenamed("node", "ord")
     return rows.select("ord", "id").join(comp, "ord").select(F.lit(kind).alias("kind"), F.col("component").alias("group_id"), "ord", "id")
 
 
@@ -42,7 +42,7 @@ def modified_members(reps: DataFrame, options: ClusterOptions) -> DataFrame:
     if options.hamming_threshold == 0:
         return reps.limit(0).select(F.lit(MODIFIED_COPY).alias("kind"), F.col("ord").alias("group_id"), "ord", "id")
     if options.max_checks is None:
-        return _members(mih.mih_forest(reps, options.hamming_threshold), reps, MODIFIED_COPY)
+        return _members(mih.mih_forest(reps, options.hamming_threshold), reps, MODIFIED_COPY, thin=False)
     pairs = mih.mih_pairs(reps, options.hamming_threshold, options.max_checks)
     return _members(_sides(pairs, reps, *META).where(_metadata()), reps, MODIFIED_COPY)
 

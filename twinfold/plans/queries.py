@@ -254,7 +254,7 @@ def preview_size(spark, d):
 
 
 def hash_components(spark, d):
-    return connected_components(mih.mih_forest(_reps(spark, d), 4, metadata=False), "q", "c")
+    return connected_components(mih.mih_forest(_reps(spark, d), 4, metadata=False), "q", "c", thin=False)
 
 
 def application_groups(spark, d):
