@@ -173,7 +173,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, group_rows: int = GR
 
 def _component_ids(classes: DataFrame, radius: int, group_rows: int) -> DataFrame:
     """``(fp, first)`` of ``classes(fp, least)``: the smallest ``least`` of all classes that a fingerprint reaches."""
-    comp = connected_components(fingerprint_links(classes, radius, group_rows)).withColumnRenamed("node", "fp")
+    comp = connected_components(fingerprint_links(classes, radius, group_rows), thin=False).withColumnRenamed("node", "fp")
     named = classes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "named")
     best = named.groupBy("component").agg(F.min("least").alias("first"))
