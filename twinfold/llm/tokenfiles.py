@@ -18,7 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,27 +45,34 @@ _LETTER = np.array([chr(c).isalpha() for c in range(0x250)])
 
 
 class IdStore:
-    """Ids of chunks, one after the other in one array, found by a chunk's number."""
+    """Ids of chunks, one after the other in one array, found by a chunk's number; the chunks are an Arrow array."""
 
     def __init__(self, dtype: np.dtype):
-        self.of: dict[str | None, int] = {}
+        self.keys = pa.array([], pa.large_string())
         self.flat, self.start, self.size = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def add(self, keys: Sequence, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def add(self, keys: pa.Array, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """New keys and their ids, in blocks ``(places of the keys, their ids in turn, how many each has)``."""
-        n = len(self.of)
+        n = len(self)
         self.start, self.size = (_grown(x, n + len(keys)) for x in (self.start, self.size))
         for at, ids, sizes in blocks:
             self.flat = _grown(self.flat, self.used + len(ids))
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[n + at], self.size[n + at] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
-        self.of.update(zip(keys, range(n, n + len(keys)), strict=True))
-
-    def find(self, keys: Sequence) -> np.ndarray:
-        """The number of each key, -1 where there is none."""
-        return np.fromiter(map(self.of.get, keys, repeat(-1)), np.int64, len(keys))
+        self.keys = pa.concat_arrays([self.keys, keys])
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """The number of each of these distinct keys, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        place = pc.index_in(self.keys, value_set=keys)  # the table is made of the fewer
+        known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        out[place.drop_null().to_numpy()] = known
+        return out
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all these in turn, and how many each has."""
@@ -93,11 +100,11 @@ class ByteBpe:
     white space comes next, so the text is cut there and its chunks are encoded on their own.  The library takes an added
     token out of a text before anything else: texts are cut there first, and its id stands between the parts.
 
-    What is known is held in a young and an old store of at most ``memo_chunks // 2`` chunks and one slice of texts
-    each; a chunk of the old one that is met again moves to the young one, so frequent ones stay.  No result depends on it.
+    What is known is held in a young and an old store of at most ``memo_chunks // 2`` chunks (with their ids no more than
+    ``memo_bytes // 2``) and one slice of texts each; a chunk of the old one that is met again moves to the young one, so frequent ones stay.  No result depends on it.
     """
 
-    def __init__(self, model: bytes, memo_chunks: int = 800_000):
+    def __init__(self, model: bytes, memo_chunks: int = 1_600_000, memo_bytes: int = 128 << 20):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -117,45 +124,44 @@ class ByteBpe:
         #: The same model without a pre-tokenizer, for units that are cut and written in that alphabet already.
         self.units = Tokenizer(self.library.model)
         #: Ids of the runs of punctuation met so far, one after the other.
-        self.tails = IdStore(self.dtype)
-        self.tails.add([""], [(np.array([0]), np.zeros(0, self.dtype), np.array([0]))])
+        self.tails = self._store()
         self.feed = self._ids("\n")
-        self.limit = memo_chunks
+        self.limit, self.most = memo_chunks, memo_bytes
         self.young, self.old = self._store(), self._store()
 
     def _store(self) -> IdStore:
         """A store that holds the empty chunk alone."""
         out = IdStore(self.dtype)
-        out.add([""], [(np.array([0]), np.zeros(0, self.dtype), np.array([0]))])
+        out.add(pa.array([""], pa.large_string()), [(np.array([0]), np.zeros(0, self.dtype), np.array([0]))])
         return out
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _known(self, keys: Sequence[str | None]) -> np.ndarray:
+    def _known(self, keys: pa.Array) -> np.ndarray:
         """The numbers of keys in the young store, after the missing ones were added."""
+        coded = keys.dictionary_encode()
+        keys = coded.dictionary
         found = self.young.find(keys)
         gone = np.flatnonzero(found < 0)
-        if not len(gone):
-            return found
-        missing = list(dict.fromkeys([keys[k] for k in gone.tolist()]))
-        before = self.old.find(missing)
-        there = np.flatnonzero(before >= 0)
-        if len(there):
-            self.young.add([missing[k] for k in there.tolist()], [(np.arange(len(there)), *self.old.gather(before[there]))])
-        new = [missing[k] for k in np.flatnonzero(before < 0).tolist()]
-        if new:
-            self.young.add(new, self._fill(new))
-        found[gone] = self.young.find([keys[k] for k in gone.tolist()])
-        return found
-
-    def _fill(self, keys: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(gone):
+            missing = keys.take(pa.array(gone))
+            before = self.old.find(missing)
+            there, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+            found[gone[there]] = len(self.young) + np.arange(len(there))
+            self.young.add(missing.take(pa.array(there)), [(np.arange(len(there)), *self.old.gather(before[there]))])
+            found[gone[new]] = len(self.young) + np.arange(len(new))
+            missing = missing.take(pa.array(new))
+            self.young.add(missing, self._fill(missing))
+        return found[coded.indices.to_numpy()]
+
+    def _fill(self, whole: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of ids of new chunks.
 
         A word of letters is one unit of the pre-tokenizer, a line feed before it and a run of punctuation at its end are
         others: the library's model takes the letters as they are.  All other chunks go to the library whole.
         """
-        whole = pa.array(keys, pa.string())
+        whole = whole.cast(pa.string())
         core = pc.ascii_rtrim(whole, _TAIL)
         fed, spaced = pc.starts_with(core, "\n"), pc.starts_with(core, " ")
         core = pc.if_else(pc.or_(fed, spaced), pc.utf8_slice_codeunits(core, 1), core)
@@ -173,10 +179,11 @@ class ByteBpe:
             for a, b in chunks(sizes.tolist(), 200_000):
                 (e,) = self.units.encode_batch_fast([words_[a:b]], is_pretokenized=True, add_special_tokens=False)
                 out.append((at_[a:b], *self._composed(feeds[a:b], *self._cut(e.ids, sizes[a:b]), ends[a:b])))
-        whole_ = np.ones(len(keys), bool)
+        whole_ = np.ones(len(whole), bool)
         whole_[at], whole_[rest[other]] = False, False
-        left = np.flatnonzero(whole_).tolist()
-        joined, own = [k for k in left if keys[k][0] not in " \n"], [k for k in left if keys[k][0] in " \n"]
+        left = np.flatnonzero(whole_)
+        keys = dict(zip(left.tolist(), whole.take(pa.array(left)).to_pylist(), strict=True))
+        joined, own = [k for k in keys if keys[k][0] not in " \n"], [k for k in keys if keys[k][0] in " \n"]
         for a, b in chunks([len(keys[k]) + 8 for k in own], 400_000):
             texts = [keys[k][1:] if keys[k][0] == " " else keys[k] for k in own[a:b]]
             found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -215,10 +222,10 @@ class ByteBpe:
         if len(some):
             run = "[" + "".join("\\" + c for c in _TAIL) + "]"
             coded = pc.replace_substring_regex(whole.take(pa.array(some)), f"(?s)^.*[^{run[1:]}", "").dictionary_encode()
-            tails = coded.dictionary.to_pylist()
-            new = [t for t in tails if t not in self.tails.of]
-            if new:
-                found = [self._ids(t) for t in new]
+            tails = coded.dictionary.cast(pa.large_string())
+            new = tails.take(pa.array(np.flatnonzero(self.tails.find(tails) < 0)))
+            if len(new):
+                found = [self._ids(t) for t in new.to_pylist()]
                 self.tails.add(new, [(np.arange(len(new)), np.concatenate(found), np.array([len(x) for x in found]))])
             out[some] = self.tails.find(tails)[coded.indices.to_numpy()]
         return out
@@ -228,7 +235,7 @@ class ByteBpe:
         if not feeds.any() and not ends.any():
             return ids, sizes
         both = IdStore(self.dtype)
-        base = len(self.tails.of)
+        base = len(self.tails)
         both.flat = np.concatenate([self.tails.flat[: self.tails.used], self.feed, ids])
         first = self.tails.used + len(self.feed)
         both.start = np.concatenate([self.tails.start[:base], [self.tails.used], first + np.cumsum(sizes) - sizes])
@@ -272,31 +279,31 @@ class ByteBpe:
         return out
 
     def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Texts without odd blanks are cut and made distinct by Arrow; Python sees each distinct chunk once."""
+        """Texts without odd blanks are cut, made distinct and looked up by Arrow; Python sees new chunks alone."""
         cut = {k: self._around_added(t) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
         every = pa.array(texts, pa.large_string())
         hard = pc.fill_null(pc.or_(pc.match_substring_regex(every, _HARD), pc.equal(every, "")), True).to_pylist()
         odd = [k for k, h in enumerate(hard) if h and k not in cut]
         plain = [k for k, h in enumerate(hard) if not h and k not in cut]
-        if len(self.young.of) > self.limit // 2:
+        if len(self.young) > self.limit // 2 or self.young.keys.nbytes + self.young.used * self.dtype.itemsize > self.most // 2:
             self.young, self.old = self._store(), self.young
         # a line feed is a unit of its own here and stands at the start of a chunk
         parts = pc.split_pattern(pc.replace_substring(every.take(pa.array(plain, pa.int64())), "\n", " \n"), " ")
         ends = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        words, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         # the first chunk of a text has no space before it; it is empty if the text opens with a space or a line feed
-        heads = [" " + w if w else "" for w in (words[i] for i in index[ends[:-1]].tolist())]
+        heads = [" " + w if w else "" for w in words.take(pa.array(index[ends[:-1]])).to_pylist()]
         hard = [self.split(texts[k] or "") for k in odd]
         others = list(dict.fromkeys(chain(heads, *hard)))
         place = {w: len(words) + k for k, w in enumerate(others)}
         index[ends[:-1]] = [place[h] for h in heads]
-        every = [*words, *others]
+        every = pa.concat_arrays([words, pa.array(others, pa.large_string())])
         used = np.ones(len(every), bool)
         used[: len(words)] = False
         used[index] = True  # chunks that only ever were the first of a text are of no use as they stand
         number = np.zeros(len(every), np.int64)
-        number[used] = self._known(every if used.all() else [w for w, u in zip(every, used.tolist(), strict=True) if u])
+        number[used] = self._known(every.filter(pa.array(used)))
         index = np.concatenate([index, np.fromiter((place[w] for ws in hard for w in ws), np.int64)])
         ids, sizes = self.young.gather(number[index])
         stops = np.concatenate([ends, ends[-1] + np.cumsum([len(ws) for ws in hard], dtype=np.int64)])
@@ -421,7 +428,7 @@ def open_file(uri: str, mode: str = "r"):
     return fs.open_input_file(path) if mode == "r" else fs.open_output_stream(path, compression=None)
 
 
-#: One encoder a Python worker; what it knows (about 150 MB when full) stays from task to task.
+#: One encoder a Python worker; what it knows (about 80 MB when full) stays from task to task.
 _BPE: dict[bytes, ByteBpe] = {}
 
 
