@@ -87,3 +87,19 @@ def test_forest_connects_what_pairs_connect(spark, monkeypatch, block, metadata)
     want = connected_components(pairs.where(cluster._metadata()) if metadata else pairs, "q", "c")
     forest = mih.mih_forest(df, 8, metadata)
     assert sorted(map(tuple, connected_components(forest, "q", "c").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("block, metadata, budget", [(8192, True, 256), (7, True, 40), (8192, False, 3), (7, False, 1), (7, True, 0)])
+def test_capped_forest_connects_what_capped_pairs_connect(spark, monkeypatch, block, metadata, budget):
+    monkeypatch.setattr(mih, "BLOCK", block)
+    monkeypatch.setattr(mih, "TILE", 5)
+    r = random.Random(9)
+    sizes = [(None, 3, 5), (0, 3, 5), (100, 10, 50), (119, 10, 50), (121, 10, 600), (100, 10, None), (30, 9, -1)]
+    rows = [(i, h, *r.choice(sizes)) for i, h in enumerate(hashes(5))] + [(900, None, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "ord long, perceptual_hash long, width int, height int, file_size long")
+    from twinfold.plans import cluster
+
+    pairs = cluster._sides(mih.mih_pairs(df, 8, budget), df, *mih.META)
+    want = connected_components(pairs.where(cluster._metadata()) if metadata else pairs, "q", "c")
+    forest = mih.capped_forest(df, 8, budget, metadata)
+    assert sorted(map(tuple, connected_components(forest, "q", "c").collect())) == sorted(map(tuple, want.collect()))

@@ -45,18 +45,26 @@ def mih_pairs(rows: DataFrame, threshold: int, max_checks: int | None = None) ->
         return pairs.select("q", "c", distance.alias("distance"))
     if max_checks == 0:
         return q.limit(0).select("q", F.col("q").alias("c"), F.lit(0).alias("distance"))
+    q, firsts = _inspected(blocks, max_checks)
+    near = q.join(firsts, ["block", "key"]).where((F.col("n") <= F.col("take")) & (distance <= threshold))
+    return near.select("q", "c", distance.alias("distance")).distinct()
+
+
+def _inspected(blocks: DataFrame, max_checks: int) -> tuple[DataFrame, DataFrame]:
+    """``(q, qh, block, key, take)``: how many of a bucket's first entries a row inspects (more than 0); and ``(c, ch, block,
+    key, n)``: the first ``max_checks`` entries of each bucket and their places."""
+    q = blocks.select(F.col("ord").alias("q"), F.col("perceptual_hash").alias("qh"), "block", "key")
+    c = blocks.select(F.col("ord").alias("c"), F.col("perceptual_hash").alias("ch"), "block", "key")
     place = F.row_number().over(Window.partitionBy("block", "key").orderBy("c"))
     firsts = materialize(c.withColumn("n", place).where(F.col("n") <= max_checks), "firsts")
     # a row that is not among the first of its bucket has at least so many before it
     own = firsts.select(F.col("c").alias("q"), "block", "key", (F.col("n") - 1).alias("met"))
     q = q.join(own, ["q", "block", "key"], "left").withColumn("met", F.coalesce("met", F.lit(max_checks))).where(F.col("met") > 0)
     before = F.coalesce(F.sum("met").over(Window.partitionBy("q").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    q = q.withColumn("take", F.least(F.col("met"), F.lit(max_checks) - before)).where(F.col("take") > 0)
-    near = q.join(firsts, ["block", "key"]).where((F.col("n") <= F.col("take")) & (distance <= threshold))
-    return near.select("q", "c", distance.alias("distance")).distinct()
+    return q.withColumn("take", F.least(F.col("met"), F.lit(max_checks) - before)).where(F.col("take") > 0).drop("met"), firsts
 
 
-def _accepts(x: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _accepts(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The metadata filter for every pair of these rows, as ``scalar.passes_metadata``."""
     w, h, size = (x[k] for k in META)
     known = ((w[i] > 0) & (h[i] > 0))[:, None] & ((w[j] > 0) & (h[j] > 0))[None, :]
@@ -68,6 +76,23 @@ def _accepts(x: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ~known | (near & ~sized)
 
 
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The roots of all rows once these pairs of rows are linked."""
+    u, v = root[u], root[v]
+    if not (u != v).any():
+        return root
+    nodes, low = smallest_reached(u[u != v], v[u != v])
+    new = np.arange(len(root))
+    new[nodes] = low
+    return new[root]
+
+
+def _cells(rows: DataFrame, metadata: bool) -> DataFrame:
+    """``(ord, width, height, file_size)`` with 0 for null, or 0 all over without ``metadata``."""
+    cells = [F.coalesce(c, F.lit(0)).cast("double" if c != "file_size" else "long").alias(c) if metadata else F.lit(0).alias(c) for c in META]
+    return rows.where("perceptual_hash IS NOT NULL").select("ord", *cells)
+
+
 def mih_forest(rows: DataFrame, threshold: int, metadata: bool = True) -> DataFrame:
     """``(q, c)`` edges that connect all rows within the threshold (and, with ``metadata``, alike in shape and size).
 
@@ -76,8 +101,7 @@ def mih_forest(rows: DataFrame, threshold: int, metadata: bool = True) -> DataFr
     """
     S.block_layout(threshold)
     there = rows.where("perceptual_hash IS NOT NULL")
-    cells = [F.coalesce(c, F.lit(0)).cast("double" if c != "file_size" else "long").alias(c) if metadata else F.lit(0).alias(c) for c in META]
-    blocks = mih_blocks(there, threshold).join(there.select("ord", *cells), "ord")
+    blocks = mih_blocks(there, threshold).join(_cells(there, metadata), "ord")
     sizes = mih_blocks(there, threshold).groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = blocks.join(sizes, ["block", "key"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("ord"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -97,13 +121,46 @@ def mih_forest(rows: DataFrame, threshold: int, metadata: bool = True) -> DataFr
                 if metadata and near.any():
                     near &= _accepts(x, i, j)
                 m, n = np.nonzero(near)
-                u, v = root[i[m]], root[j[n]]
-                if (u != v).any():
-                    nodes, low = smallest_reached(u[u != v], v[u != v])
-                    new = np.arange(len(bits))
-                    new[nodes] = low
-                    root = new[root]
+                root = _joined(root, i[m], j[n])
         some = np.flatnonzero(root != np.arange(len(bits)))
         return pa.table({"q": x["ord"][some], "c": x["ord"][root[some]]})
 
     return dealt.groupBy("block", "key", "lo", "hi").applyInArrow(compare, "q long, c long")
+
+
+def capped_forest(rows: DataFrame, threshold: int, max_checks: int, metadata: bool = True) -> DataFrame:
+    """``(q, c)`` edges that connect what the pairs of ``mih_pairs`` with ``max_checks`` connect (with ``metadata`` those of them
+    that are alike in shape and size).
+
+    The rows that inspect a bucket meet its first entries in blocks of about ``BLOCK`` rows, and each block returns a
+    spanning forest, fewer edges than it has rows: pairs are never rows of a table.
+    """
+    S.block_layout(threshold)
+    if max_checks == 0:
+        return rows.limit(0).select(F.col("ord").alias("q"), F.col("ord").alias("c"))
+    q, firsts = _inspected(mih_blocks(rows, threshold), max_checks)
+    q = materialize(q, "inspected")
+    cells = _cells(rows, metadata)
+    parts = q.groupBy("block", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    left = q.join(parts, ["block", "key"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("parts")
+    left = left.withColumnRenamed("q", "ord").join(cells, "ord")
+    right = firsts.withColumnRenamed("c", "ord").join(cells, "ord").join(parts, ["block", "key"])
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    held = right.select(*[F.col(c).alias(f"held_{c}") for c in ("block", "key", "part", "ord", "ch", "n", *META)])
+
+    def compare(asking: pa.Table, held: pa.Table) -> pa.Table:
+        names = {"ord": "ord", "qh": "ch", "take": "n"} | {c: c for c in META}
+        x = {a: np.concatenate([asking.column(a).to_numpy(), held.column(f"held_{b}").to_numpy()]) for a, b in names.items()}
+        bits, j = x["qh"].view(np.uint64), np.arange(len(asking), len(asking) + len(held))
+        root = np.arange(len(bits))
+        for a in range(0, len(asking), TILE):
+            i = np.arange(a, min(a + TILE, len(asking)))
+            near = (x["take"][j][None, :] <= x["take"][i][:, None]) & (np.bitwise_count(bits[i][:, None] ^ bits[j][None, :]) <= threshold)
+            if metadata and near.any():
+                near &= _accepts(x, i, j)
+            m, n = np.nonzero(near)
+            root = _joined(root, i[m], j[n])
+        some = np.flatnonzero(root != np.arange(len(bits)))
+        return pa.table({"q": x["ord"][some], "c": x["ord"][root[some]]})
+
+    return left.groupBy("block", "key", "part").cogroup(held.groupBy("held_block", "held_key", "held_part")).applyInArrow(compare, "q long, c long")

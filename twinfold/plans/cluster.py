@@ -41,10 +41,9 @@ def modified_members(reps: DataFrame, options: ClusterOptions) -> DataFrame:
     """Components of representatives within the Hamming threshold that pass the metadata filter; none at threshold 0."""
     if options.hamming_threshold == 0:
         return reps.limit(0).select(F.lit(MODIFIED_COPY).alias("kind"), F.col("ord").alias("group_id"), "ord", "id")
-    if options.max_checks is None:
-        return _members(mih.mih_forest(reps, options.hamming_threshold), reps, MODIFIED_COPY, thin=False)
-    pairs = mih.mih_pairs(reps, options.hamming_threshold, options.max_checks)
-    return _members(_sides(pairs, reps, *META).where(_metadata()), reps, MODIFIED_COPY)
+    t = options.hamming_threshold
+    edges = mih.mih_forest(reps, t) if options.max_checks is None else mih.capped_forest(reps, t, options.max_checks)
+    return _members(edges, reps, MODIFIED_COPY, thin=False)
 
 
 def related_comparisons(reps: DataFrame, modified: DataFrame, options: ClusterOptions) -> DataFrame:

@@ -104,7 +104,7 @@ def luminance(spark, d):
 
 def rgb_normalise(spark, d):
     g = sources.document_grids(spark, d, _triples(lambda r, g, b: r * 65536 + g * 256 + b))
-    millionths = F.transform(S.normalised_rgb(F.col("luminance")), lambda v: F.round(v.cast("double") * 1000000).cast("long"))
+    millionths = F.transform(S.normalised_rgb(F.col("luminance")), lambda v: F.floor(v.cast("double") * 1000000 + 0.5))
     return g.select("id", millionths.alias("v")).select("id", *_digest(F.col("v")))
 
 
