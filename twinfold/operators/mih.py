@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from twinfold.functions import scalar as S
 from twinfold.operators.components import smallest_reached
-from twinfold.session import materialize
+from twinfold.session import fits_broadcast, materialize
 
 META = ("width", "height", "file_size")
 #: Rows of a bucket that one task compares with as many others, and rows of a tile of working space.
 BLOCK, TILE = 8_192, 1_024
+#: Buckets whose sizes are broadcast (about 20 bytes each); more are joined by a shuffle.
+BUCKETS = 100_000
 
 
 def mih_blocks(rows: DataFrame, threshold: int) -> DataFrame:
@@ -141,7 +143,8 @@ def capped_forest(rows: DataFrame, threshold: int, max_checks: int, metadata: bo
     q, firsts = _inspected(mih_blocks(rows, threshold), max_checks)
     q = materialize(q, "inspected")
     cells = _cells(rows, metadata)
-    parts = q.groupBy("block", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    parts = materialize(q.groupBy("block", "key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")), "parts")
+    parts = F.broadcast(parts) if fits_broadcast(parts, BUCKETS) else parts  # so a hot bucket's rows are not brought together for it
     left = q.join(parts, ["block", "key"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("parts")
     left = left.withColumnRenamed("q", "ord").join(cells, "ord")
     right = firsts.withColumnRenamed("c", "ord").join(cells, "ord").join(parts, ["block", "key"])
