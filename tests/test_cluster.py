@@ -5,6 +5,7 @@ from twinfold.operators import evidence, exact, lsh, mih, regroup, report
 from twinfold.operators.validate import validate
 from twinfold.plans import cluster
 from twinfold.schema import ClusterOptions
+from twinfold.session import materialize
 
 SCHEMA = "id string, ord long, content_hash string, perceptual_hash long, embedding array<float>, width int, height int, file_size long"
 
@@ -70,6 +71,16 @@ def test_bounded_search(spark):
     assert n <= 512_000 and n < 999_500 and abs(n - 478_870) < 2_000
 
 
+@pytest.mark.parametrize("limit", [256, 3])
+def test_buckets_are_not_broadcast(spark, limit):
+    cells = [(f"v{i}", f"h{i}", None, [((i * 7919 + v * 104729) % 1009) / 1009 - 0.5 for v in range(8)]) for i in range(60)]
+    sigs = materialize(lsh.signatures(rows(spark, cells), 8, 8))
+    pairs = lsh.lsh_candidates(sigs, 8, limit)
+    assert pairs.count() == len({tuple(r) for r in pairs.collect()}) > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert cluster.cluster_duplicates(empty).count() == 0
