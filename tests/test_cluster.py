@@ -71,7 +71,7 @@ def test_bounded_search(spark):
     assert n <= 512_000 and n < 999_500 and abs(n - 478_870) < 2_000
 
 
-@pytest.mark.parametrize("limit", [256, 3])
+@pytest.mark.parametrize("limit", [None, 256, 3])
 def test_buckets_are_not_broadcast(spark, limit):
     cells = [(f"v{i}", f"h{i}", None, [((i * 7919 + v * 104729) % 1009) / 1009 - 0.5 for v in range(8)]) for i in range(60)]
     sigs = materialize(lsh.signatures(rows(spark, cells), 8, 8))
