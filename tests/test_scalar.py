@@ -82,6 +82,11 @@ def test_format_bytes(spark, n, want):
     assert one(spark, S.format_bytes(F.lit(n).cast("long"))) == want
 
 
+@pytest.mark.parametrize("n,want", [(24_832, "24.2 KB"), (24_833, "24.3 KB"), (25_344, "24.8 KB"), (223_488, "218.2 KB"), (1_310_720, "1.2 MB"), (1_835_008, "1.8 MB"), (5 << 28, "1.2 GB"), ((1 << 20) - 1, "1024.0 KB")])
+def test_format_bytes_ties(spark, n, want):
+    assert one(spark, S.format_bytes(F.lit(n).cast("long"))) == want
+
+
 def test_texts(spark):
     assert one(spark, S.format_percent(F.lit(0.8525))) in ("85.2%", "85.3%")
     assert one(spark, S.format_number(F.lit(12.6))) == "13"
