@@ -81,6 +81,21 @@ def test_buckets_are_not_broadcast(spark, limit):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("buckets", [100_000, 0])
+def test_first_entries_are_not_broadcast(spark, monkeypatch, buckets):
+    monkeypatch.setattr(mih, "BUCKETS", buckets)
+    plans, write = [], mih.materialize
+    note = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df
+    monkeypatch.setattr(mih, "materialize", lambda df, name="step": write(note(df), name))
+    table = write(rows(spark, [(f"h{i}", f"c{i}", i * 0x9E3779B97F4A7C15 % 2**16 * 0x10001, None) for i in range(80)]))
+    assert note(mih.mih_pairs(table, 8, 16)).count() == 55
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in "".join(plans)
+    plans.clear()
+    assert note(mih.capped_forest(table, 8, 16)).count() > 0
+    # the sizes of buckets alone, for both sides, where they are bounded by a count
+    assert "SortMergeJoin" in plans[-1] and "".join(plans).count("BroadcastHashJoin") == (2 if buckets else 0)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert cluster.cluster_duplicates(empty).count() == 0
