@@ -41,3 +41,10 @@ def test_contractions_are_not_broadcast(spark, monkeypatch):
     members = cluster._members(edges.toDF("q", "c"), materialize(ids), "RELATED")
     assert members.count() == 300
     assert len(found) > 4 and not any("BroadcastHashJoin" in p for p in [*found, plan_of(out), plan_of(members)])
+
+
+def test_flat_groups_are_not_broadcast(spark):
+    table, groups = deletable(spark)
+    out = report.decode_groups(report.flat_groups(groups, table), table)
+    assert sorted(out.collect()) == sorted(groups.select(*out.columns).collect())
+    assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
