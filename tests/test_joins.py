@@ -48,3 +48,17 @@ def test_flat_groups_are_not_broadcast(spark):
     out = report.decode_groups(report.flat_groups(groups, table), table)
     assert sorted(out.collect()) == sorted(groups.select(*out.columns).collect())
     assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_deleted_rows_are_not_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(regroup, "GROUP_ROWS", few, raising=False)
+    table, groups = deletable(spark)
+    deleted = table.where("ord % 3 = 0")
+    found = static_plans(monkeypatch, ranks, *([regroup] if hasattr(regroup, "materialize") else []))
+    out = regroup.regroup(groups, deleted)
+    left = {tuple(r) for r in groups.join(deleted, "id", "left_anti").select("kind", "group_id", "id").collect()}
+    sizes = Counter(r[:2] for r in left)
+    assert {tuple(r) for r in out.select("kind", "group_id", "id").collect()} == {r for r in left if sizes[r[:2]] > 1}
+    # groups alone, where they are bounded by a count
+    assert len(found) > 1 and "".join(found).count("BroadcastHashJoin") == (1 if few else 0)
