@@ -43,6 +43,16 @@ def test_contractions_are_not_broadcast(spark, monkeypatch):
     assert len(found) > 4 and not any("BroadcastHashJoin" in p for p in [*found, plan_of(out), plan_of(members)])
 
 
+def test_evidence_is_not_broadcast(spark):
+    table, groups = deletable(spark)
+    some = table.where("ord % 2 = 0").select("id", F.col("id").alias("display_name"))
+    for rest in (table, regroup.delete_rows(table, some)):
+        pairs = evidence.evidence_pairs(groups, rest)
+        plan = plan_of(pairs)
+        assert pairs.count() > 0
+        assert re.search(r"SortMergeJoin \[id#", plan) and not re.search(r"BroadcastHashJoin \[\w*id#", plan)
+
+
 def test_flat_groups_are_not_broadcast(spark):
     table, groups = deletable(spark)
     out = report.decode_groups(report.flat_groups(groups, table), table)
