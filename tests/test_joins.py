@@ -47,7 +47,7 @@ def test_evidence_is_not_broadcast(spark):
     table, groups = deletable(spark)
     some = table.where("ord % 2 = 0").select("id", F.col("id").alias("display_name"))
     for rest in (table, regroup.delete_rows(table, some)):
-        pairs = evidence.evidence_pairs(groups, rest)
+        pairs = evidence.with_names(evidence.evidence_pairs(groups, rest), some)
         plan = plan_of(pairs)
         assert pairs.count() > 0
         assert re.search(r"SortMergeJoin \[id#", plan) and not re.search(r"BroadcastHashJoin \[\w*id#", plan)
