@@ -43,6 +43,12 @@ def test_contractions_are_not_broadcast(spark, monkeypatch):
     assert len(found) > 4 and not any("BroadcastHashJoin" in p for p in [*found, plan_of(out), plan_of(members)])
 
 
+def test_grouped_rows_are_not_broadcast(spark):
+    table, groups = deletable(spark)
+    plan = plan_of(cluster.singletons(table, groups.join(table.select("id", "ord"), "id").select("ord", "id")))
+    assert re.search("SortMergeJoin.*LeftAnti", plan) and not re.search("BroadcastHashJoin.*LeftAnti", plan)
+
+
 def test_evidence_is_not_broadcast(spark):
     table, groups = deletable(spark)
     some = table.where("ord % 2 = 0").select("id", F.col("id").alias("display_name"))
