@@ -43,6 +43,18 @@ def test_contractions_are_not_broadcast(spark, monkeypatch):
     assert len(found) > 4 and not any("BroadcastHashJoin" in p for p in [*found, plan_of(out), plan_of(members)])
 
 
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    plan = plan_of(sources.document_fingerprints(spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    table, _ = deletable(spark)
+    modified = materialize(table.select("ord", F.col("ord").alias("group_id")))
+    pairs = cluster.related_comparisons(table, modified, ClusterOptions(similarity_threshold=0.4))
+    assert pairs.count() > 0
+    plan = plan_of(pairs)
+    vectors = [line for line in plan.split("\n") if "Join" in line and "LeftOuter" not in line][:2]
+    assert all("SortMergeJoin" in line for line in vectors) and not re.search("BroadcastHashJoin.*LeftOuter", plan)
+
+
 def test_grouped_rows_are_not_broadcast(spark):
     table, groups = deletable(spark)
     plan = plan_of(cluster.singletons(table, groups.join(table.select("id", "ord"), "id").select("ord", "id")))
