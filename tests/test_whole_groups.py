@@ -59,3 +59,7 @@ def rows(spark, tables, name):
 
 def test_cluster_all(spark, tables):
     assert rows(spark, tables, "cluster_all") == WANT
+
+
+def test_cleanup_suggestions(spark, tables):
+    assert rows(spark, tables, "cleanup_suggestions") == sorted((f"d{i}",) for i in (*range(1, CROWD), 301))
