@@ -63,3 +63,7 @@ def test_cluster_all(spark, tables):
 
 def test_cleanup_suggestions(spark, tables):
     assert rows(spark, tables, "cleanup_suggestions") == sorted((f"d{i}",) for i in (*range(1, CROWD), 301))
+
+
+def test_decoded_groups(spark, tables):
+    assert rows(spark, tables, "decoded_groups") == WANT
