@@ -67,3 +67,19 @@ def test_cleanup_suggestions(spark, tables):
 
 def test_decoded_groups(spark, tables):
     assert rows(spark, tables, "decoded_groups") == WANT
+
+
+def found(spark, tables, name):
+    """The rows of the groups that a cap would lose."""
+    return [r for r in rows(spark, tables, name) if r[1] >= CROWD]
+
+
+def apart(spark, tables):
+    """How many bits d302 and d303 differ by."""
+    a, b = (bits(r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").where("doc_id >= 302").collect())
+    return (a ^ b).bit_count()
+
+
+def test_evidence_labels(spark, tables):
+    modified, related = "dHash 0/64 (passes at ≤ 8) • MobileNet 0.0%", f"MobileNet 100.0% (passes at ≥ 85.0%) • dHash {apart(spark, tables)}/64"
+    assert found(spark, tables, "evidence_labels") == [("MODIFIED_COPY", 300, "d300", "d301", modified), ("RELATED", 302, "d302", "d303", related)]
