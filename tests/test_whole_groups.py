@@ -83,3 +83,8 @@ def apart(spark, tables):
 def test_evidence_labels(spark, tables):
     modified, related = "dHash 0/64 (passes at ≤ 8) • MobileNet 0.0%", f"MobileNet 100.0% (passes at ≥ 85.0%) • dHash {apart(spark, tables)}/64"
     assert found(spark, tables, "evidence_labels") == [("MODIFIED_COPY", 300, "d300", "d301", modified), ("RELATED", 302, "d302", "d303", related)]
+
+
+def test_evidence_names(spark, tables):
+    want = [("MODIFIED_COPY", 300, "d300", "d301", "name of d300", "d301"), ("RELATED", 302, "d302", "d303", "name of d302", "d303")]
+    assert found(spark, tables, "evidence_names") == want
