@@ -88,3 +88,8 @@ def test_evidence_labels(spark, tables):
 def test_evidence_names(spark, tables):
     want = [("MODIFIED_COPY", 300, "d300", "d301", "name of d300", "d301"), ("RELATED", 302, "d302", "d303", "name of d302", "d303")]
     assert found(spark, tables, "evidence_names") == want
+
+
+def test_evidence_preview(spark, tables):
+    want = [("MODIFIED_COPY", 300, "d300", "d301", 0), ("RELATED", 302, "d302", "d303", apart(spark, tables))]
+    assert found(spark, tables, "evidence_preview") == want
