@@ -93,3 +93,7 @@ def test_evidence_names(spark, tables):
 def test_evidence_preview(spark, tables):
     want = [("MODIFIED_COPY", 300, "d300", "d301", 0), ("RELATED", 302, "d302", "d303", apart(spark, tables))]
     assert found(spark, tables, "evidence_preview") == want
+
+
+def test_member_chunks(spark, tables):
+    assert rows(spark, tables, "member_chunks") == sorted((kind, group, id_, (pos - 1) // 2) for kind, group, pos, id_ in WANT)
