@@ -97,3 +97,8 @@ def test_evidence_preview(spark, tables):
 
 def test_member_chunks(spark, tables):
     assert rows(spark, tables, "member_chunks") == sorted((kind, group, id_, (pos - 1) // 2) for kind, group, pos, id_ in WANT)
+
+
+def test_selected_bytes(spark, tables):
+    sizes = {r["doc_id"]: len(r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert rows(spark, tables, "selected_bytes") == [(sum(sizes[i] for i in (*range(1, CROWD), 301)),)]
