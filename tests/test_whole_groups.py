@@ -102,3 +102,7 @@ def test_member_chunks(spark, tables):
 def test_selected_bytes(spark, tables):
     sizes = {r["doc_id"]: len(r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     assert rows(spark, tables, "selected_bytes") == [(sum(sizes[i] for i in (*range(1, CROWD), 301)),)]
+
+
+def test_written_groups(spark, tables):
+    assert rows(spark, tables, "written_groups") == WANT
